@@ -12,6 +12,9 @@ corpus. On these numbers the driver
 4. fills what is left, and new sequences, with the other pieces, largest first,
    each where it leaves the least room.
 
+What counts as large is tried at a few bounds, and the plan of the fewest
+sequences is taken.
+
 The plan is a bounded list of runs "ranks a..b of length s go to sequences
 c..d at offset o". Executors number the pieces of each length (within shards,
 then by prefix sums, so that a length that a third of all pieces share is no
@@ -34,8 +37,8 @@ from strandweave.llm.tokens import encoder
 from strandweave.llm.words import sliced, texts_of
 from strandweave.session import written
 
-GROUPS = 48
-LARGE = 6  # lengths over capacity / LARGE are large
+GROUPS = 32
+LARGE = (2, 3, 6)  # lengths over capacity / k are large; the k of the fewest sequences is taken
 
 
 def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
@@ -95,7 +98,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return [([int(v) for v in base[:, j]], max(float(x[j]), 0.0)) for j in range(k)]
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = GROUPS) -> tuple[np.ndarray, int]:
+def plan(counts: dict[int, int], capacity: int, groups: int = GROUPS, large_over: int = 2) -> tuple[np.ndarray, int]:
     """Runs (length, first rank, pieces, first sequence, offset), and the number of sequences.
 
     counts: how many pieces there are of each length from 1 to capacity.
@@ -115,7 +118,7 @@ def plan(counts: dict[int, int], capacity: int, groups: int = GROUPS) -> tuple[n
         n = left[size]
         place(size, n, used, capacity)
         used += n
-    large = sorted((s for s in left if capacity > s > capacity / LARGE and left[s]), reverse=True)
+    large = sorted((s for s in left if capacity > s > capacity / large_over and left[s]), reverse=True)
     total = sum(left[s] for s in large)
     if total:
         # Equal-cardinality groups, as lists of (length, pieces).
@@ -205,7 +208,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     pieces = written(rows.mapInArrow(_pieces(tokenizer_path, end_id, capacity, with_ids), schema), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    runs, _ = plan(counts, capacity)
+    runs, _ = min((plan(counts, capacity, large_over=k) for k in LARGE), key=lambda found: found[1])
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(counts.values()) // 50_000)
     sharded = pieces.withColumn("_shard", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
     each = sharded.groupBy("length", "_shard").agg(F.count("*").alias("_n"))
