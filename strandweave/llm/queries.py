@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.llm import html_extract, iblt, language_id, media, packing, simhash, substring_dedup
+from strandweave.llm import html_extract, iblt, language_id, media, mixing, packing, simhash, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.drop_repeats(_documents(spark, sf_dir), 35, with_text=False)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.compare_versions(_documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_mixing": op7_mixing,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_html_extraction": op9_html_extraction,
     "op10_media_columns": op10_media_columns,
