@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.llm.bloom import build, has
 from strandweave.llm.words import sliced, texts_of
 from strandweave.session import parts_for, written
 
 ROW = 576
 LEAST, MASK_BITS, MOST = 256, 10, 4096  # chunk sizes: 256 + about 1024, 4096 at most
-FILTER_BITS = 26  # 8 MB at most
 _GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(29)).astype(np.uint32) * np.uint32(0x85EBCA6B)
 
 
@@ -97,23 +97,11 @@ def _chunk_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([_short(_digest(c)) for parts in chunks(payloads) for c in parts], pa.int64())], names=["h"])
 
 
-def _positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h = h.astype(np.int64).view(np.uint64)
-    return (h & np.uint64((1 << bits) - 1)).astype(np.int64), (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def repeated_filter(names: DataFrame) -> tuple[int, np.ndarray]:
     """Bloom filter (bits as a power of two, 64-bit words) of the names that occur more than once."""
     again = names.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     again = written(again, "repeated")
-    bits = min(FILTER_BITS, max(16, (16 * again.count()).bit_length()))
-    first, second = F.col("h").bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned("h", 64 - bits)
-    at = again.select(F.explode(F.array(first, second)).alias("at"))
-    words = at.select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    table = np.zeros(1 << (bits - 6), dtype=np.int64)
-    got = words.toPandas()  # at most 2^(bits - 6) rows, whatever the corpus
-    table[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.int64)
-    return bits, table
+    return build(again, again.count())
 
 
 STORED = "kind int, _id {kind}, n_bytes long, digest binary, sizes binary, refs array<binary>, body binary"
@@ -126,8 +114,7 @@ def _store(bits: int, table: np.ndarray):
             cut = chunks(payloads)
             names = [[_digest(c) for c in parts] for parts in cut]
             h = np.array([_short(d) for own in names for d in own], dtype=np.int64)
-            p, q = _positions(h, bits)
-            marked = ((table[p >> 6] >> (p & 63)) & (table[q >> 6] >> (q & 63)) & 1).astype(bool).tolist()
+            marked = has(h, bits, table).tolist()
             shared: dict[bytes, bytes] = {}
             lists, refs, body, k = [], [], [], 0
             for parts, own in zip(cut, names, strict=True):
