@@ -1,17 +1,68 @@
-"""The corpus pipeline: a list of stages over documents."""
+"""The corpus pipeline: documents from raw rows to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept. All but the last return the columns of documents; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandweave.llm import language_id, line_dedup, mixing, packing, simhash
+from strandweave.llm.queries import tokenizer_path
+from strandweave.session import ship, written
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the models accept; those without a letter and junk go."""
+    ship(spark)
+    return language_id.drop_rejected(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier document has; every document stays, if only as an empty text."""
+    ship(spark)
+    return _sized(line_dedup.dedup_lines(docs))
+
+
+def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies."""
+    ship(spark)
+    return simhash.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    ship(spark)
+    return _sized(mixing.mix_documents(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of at most 1024 tokens."""
+    ship(spark)
+    return packing.pack(docs, tokenizer_path(), 1024, 2)
+
 
-STAGES = []
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", dedup_near_copies),
+    ("mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
+#: Character models and tokenizers are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents."""
+    """Apply all stages to documents; what a stage returns is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -156,3 +156,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     out = ["_id", "source", "size", "source_size", "target", "rate", "taken"]
     both = others.select(out).unionByName(at_edge.select(out))
     return both.select(F.col("_id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken"), "rate", F.col("source").alias(source_col))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: docs with each row as often as mix() takes it.
+
+    All columns stay. A document taken 1.4 times is there once whole and once with
+    the first 0.4 of its words, joined by blanks; one taken 0 times, such as one
+    without words, isn't there. Repeated rows are one row with the sum of their
+    words.
+    """
+    key, mark, text = "_mix_id", "_mix_mark", F.col(text_col)
+    own = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).withColumn(mark, F.xxhash64(F.coalesce(text, F.lit(""))))
+    plan = mix(own.select(F.struct(key, mark).alias("k"), text_col, source_col), weights, share, most, "k", text_col, source_col)
+    plan = plan.groupBy(F.col(f"k.{key}").alias(key), F.col(f"k.{mark}").alias(mark)).agg(F.sum("taken").alias("_mix_taken"), F.max("size").alias("_mix_size"))
+    both = own.join(plan.where("_mix_taken > 0"), [key, mark]).dropDuplicates([key, mark])
+    size, taken = F.col("_mix_size"), F.col("_mix_taken")
+    each = both.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(taken / size))))
+    words = F.least(size, taken - (F.col("_mix_copy") - 1) * size).cast("int")
+    part = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " ")), " "), F.lit(1), words), " ")
+    return each.withColumn(text_col, F.when(words < size, part).otherwise(text)).select(docs.columns)
