@@ -46,12 +46,21 @@ def parts_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     return max(least, min(1_000_000, input_bytes(df) // bytes_each))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 2,000 rows and 8 MB at most: texts are long, and a batch is copied a few times."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        set_to = spark.conf.get(name, None)
+        if set_to is None or not 0 < int(set_to.rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers of all executors, once a session.
 
     A cluster that installs the package or names it in --py-files needs nothing
     more; this makes the queries work where neither was done.
     """
+    _small_batches(spark)
     context = spark.sparkContext
     if getattr(context, "_strandweave_shipped", False):
         return
