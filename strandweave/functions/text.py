@@ -18,18 +18,21 @@ def kinds(cc: Column, tei: Column, dec: Column) -> Column:
 
 
 #: Message families of a decoder's log.
-ERROR_LINE = r"(?i)error|corrupt|invalid|missing|concealing|overread|damaged"
-CONTAINER_LINE = r"(?i)non[- ]monoton|timestamps? (are )?unset|pts has no value|dts .* out of order|packet corrupt|pes packet size mismatch|continuity check failed"
-FRAME_LINE = r"pts:\s*(-?\d+)"
+ERROR_LINE = "(?i)damaged|invalid|concealing|corrupt|forbidden|marker"
+CONTAINER_LINE = "(?i)packet corrupt|corrupt input packet|non[- ]?monoton|monotonically increasing|packet mismatch"
+HARMLESS_LINE = "MVs not available"
+FRAME_LINE = "showinfo.*pts_time:([0-9.]+)"
 
 
 def log_class(line: Column) -> Column:
-    """frame, container, error or other."""
-    return F.when(line.rlike(FRAME_LINE), "frame").when(line.rlike(CONTAINER_LINE), "container").when(line.rlike(ERROR_LINE), "error").otherwise("other")
+    """frame, container (the demultiplexer's clock), error (a picture) or other."""
+    quiet = line.contains("showinfo") | line.contains(HARMLESS_LINE)
+    return F.when(line.rlike(FRAME_LINE), "frame").when(quiet | ~line.rlike(ERROR_LINE), "other").when(line.rlike(CONTAINER_LINE), "container").otherwise("error")
 
 
-def frame_pts(line: Column) -> Column:
-    return F.regexp_extract(line, FRAME_LINE, 1).try_cast("long")
+def frame_ticks(line: Column) -> Column:
+    """The presentation time of a frame line in 90 kHz ticks, halves to even."""
+    return F.rint(F.regexp_extract(line, FRAME_LINE, 1).try_cast("double") * 90000).cast("long")
 
 
 def count_substring(text: Column, part: Column) -> Column:

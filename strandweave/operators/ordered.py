@@ -162,11 +162,11 @@ def kway_merge(df: DataFrame, run: str, position: str, key: Column, gap: str = "
     reached = F.max(key).over(W.partitionBy(run).orderBy(position).rowsBetween(W.unboundedPreceding, 0))
     keyed = df.withColumn("_m", reached)
     order = W.orderBy("_m", run, position)
-    out = keyed.withColumn("out_pos", F.row_number().over(order) - 1)
+    out = keyed.withColumn("out_pos", (F.row_number().over(order) - 1).cast("long"))
     return out.withColumn(gap, F.coalesce(F.lag(run).over(order) != F.col(run), F.lit(False))).drop("_m")
 
 
 def chain_rank(shifts: DataFrame, shift: str = "shift", tag: str = "tag") -> DataFrame:
     """Shifts from 0 on, and the order of captures by shift, then tag."""
     moved = shifts.withColumn(shift, F.col(shift) - F.min(shift).over(W.partitionBy()))
-    return moved.withColumn("chain_pos", F.row_number().over(W.orderBy(shift, tag)) - 1)
+    return moved.withColumn("chain_pos", (F.row_number().over(W.orderBy(shift, tag)) - 1).cast("long"))

@@ -160,7 +160,7 @@ def q09(spark, sf):
 
 
 @query("q10_coverage_sessions", f"""WITH {E}, k AS (SELECT capture, j, CASE WHEN k % 5 <> 0 THEN cents END AS t FROM e), n AS (SELECT *, t - lag(t) OVER (PARTITION BY capture ORDER BY j) AS d FROM k WHERE t IS NOT NULL),
-s AS (SELECT *, sum(CASE WHEN d > 1000 OR d < -200 THEN 1 ELSE 0 END) OVER (PARTITION BY capture ORDER BY j ROWS UNBOUNDED PRECEDING) AS session FROM n)
+s AS (SELECT *, sum(CASE WHEN d > 1000 OR d < -200 THEN 1 ELSE 0 END) OVER (PARTITION BY capture ORDER BY j ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM n)
 SELECT capture, session, min(j) AS j_from, max(j) + 1 AS j_to, arg_min(t, j) AS t_first, arg_max(t, j) AS t_last FROM s GROUP BY capture, session""")
 def q10(spark, sf):
     rows = events(spark, sf).withColumn("t", F.when(F.col("k") % 5 != 0, F.col("cents")))
@@ -169,7 +169,7 @@ def q10(spark, sf):
 
 
 @query("q11_residual_groups", f"""WITH {E}, x AS (SELECT capture, j, k, j - lag(j) OVER (PARTITION BY capture ORDER BY j) AS d FROM e WHERE event_type = 'error'),
-g AS (SELECT *, sum(CASE WHEN d > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY capture ORDER BY j ROWS UNBOUNDED PRECEDING) AS near FROM x),
+g AS (SELECT *, sum(CASE WHEN d > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY capture ORDER BY j ROWS UNBOUNDED PRECEDING)::BIGINT AS near FROM x),
 m AS (SELECT capture, near, min(j) AS j_from, max(j) AS j_to, count(*) AS n, max(CAST(k % 2 = 0 AS INT)) AS cc, max(CAST(k % 3 = 0 AS INT)) AS tei, max(CAST(k % 5 = 0 AS INT)) AS dec FROM g GROUP BY 1, 2)
 SELECT capture, near, j_from, j_to, n, CASE WHEN cc + tei + dec = 0 THEN 'damage' ELSE concat_ws(', ', CASE WHEN cc > 0 THEN 'dropped packets' END, CASE WHEN tei > 0 THEN 'transport error' END, CASE WHEN dec > 0 THEN 'decode error' END) END AS kinds FROM m""")
 def q11(spark, sf):
@@ -357,14 +357,15 @@ def q32(spark, sf):
     return _t(spark, sf, "lineitem").select(b.alias("b")).distinct().withColumn("v", bits.bcd(F.col("b")))
 
 
-LOG = "CASE event_id % 6 WHEN 0 THEN '[mpeg2video] ac-tex damaged at 22 17' WHEN 1 THEN '[mpegts] Packet corrupt (stream = 0)' WHEN 2 THEN 'n:12 pts:' || CAST(event_id * 3600 AS {text}) || ' pts_time:0' WHEN 3 THEN 'Concealing 36 DC errors' WHEN 4 THEN 'pts has no value' ELSE 'Press q to stop' END"
+LOG = "CASE event_id % 7 WHEN 0 THEN '[mpeg2video] ac-tex damaged at 22 17' WHEN 1 THEN '[mpegts] Packet corrupt (stream = 0)' WHEN 2 THEN '[Parsed_showinfo_0] n:12 pts_time:' || CAST(event_id AS {text}) || '.5' WHEN 3 THEN 'concealing 36 DC errors' WHEN 4 THEN 'MVs not available, invalid' WHEN 5 THEN '[null] non monotonically increasing dts, invalid' ELSE 'Press q to stop' END"
 
 
-@query("q33_log_classify", f"""WITH x AS (SELECT event_id, {LOG.format(text="VARCHAR")} AS line FROM events) SELECT event_id, CASE WHEN regexp_matches(line, 'pts:\\s*(-?\\d+)') THEN 'frame'
-WHEN regexp_matches(line, '{text.CONTAINER_LINE}') THEN 'container' WHEN regexp_matches(line, '{text.ERROR_LINE}') THEN 'error' ELSE 'other' END AS kind, try_cast(regexp_extract(line, 'pts:\\s*(-?\\d+)', 1) AS BIGINT) AS pts FROM x""")
+@query("q33_log_classify", f"""WITH x AS (SELECT event_id, {LOG.format(text="VARCHAR")} AS line FROM events) SELECT event_id, CASE WHEN regexp_matches(line, '{text.FRAME_LINE}') THEN 'frame'
+WHEN line LIKE '%showinfo%' OR line LIKE '%{text.HARMLESS_LINE}%' OR NOT regexp_matches(line, '{text.ERROR_LINE}') THEN 'other' WHEN regexp_matches(line, '{text.CONTAINER_LINE}') THEN 'container' ELSE 'error' END AS kind,
+CAST(round_even(try_cast(regexp_extract(line, '{text.FRAME_LINE}', 1) AS DOUBLE) * 90000, 0) AS BIGINT) AS ticks FROM x""")
 def q33(spark, sf):
     rows = _t(spark, sf, "events").select("event_id", F.expr(LOG.format(text="STRING")).alias("line"))
-    return rows.select("event_id", text.log_class(F.col("line")).alias("kind"), text.frame_pts(F.col("line")).alias("pts"))
+    return rows.select("event_id", text.log_class(F.col("line")).alias("kind"), text.frame_ticks(F.col("line")).alias("ticks"))
 
 
 @query("q34_hms", f"WITH {E}, x AS (SELECT event_id, CAST(floor(cents * k / 25.0) AS BIGINT) AS s FROM e) SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) AS hms FROM x")
@@ -432,7 +433,7 @@ def q40(spark, sf):
 
 
 @query("q41_spot_coalesce", f"""WITH {E}, x AS (SELECT capture, event_type, j, k, j - lag(j) OVER (PARTITION BY capture, event_type ORDER BY j) AS d FROM e),
-g AS (SELECT *, sum(CASE WHEN d > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY capture, event_type ORDER BY j ROWS UNBOUNDED PRECEDING) AS spot FROM x) SELECT capture, event_type, spot, min(j) AS j_from, max(j) AS j_to, sum(k)::BIGINT AS total FROM g GROUP BY 1, 2, 3""")
+g AS (SELECT *, sum(CASE WHEN d > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY capture, event_type ORDER BY j ROWS UNBOUNDED PRECEDING)::BIGINT AS spot FROM x) SELECT capture, event_type, spot, min(j) AS j_from, max(j) AS j_to, sum(k)::BIGINT AS total FROM g GROUP BY 1, 2, 3""")
 def q41(spark, sf):
     g = O.near_groups(events(spark, sf), ["capture", "event_type"], ["j"], "j", 5, "spot")
     return g.groupBy("capture", "event_type", "spot").agg(F.min("j").alias("j_from"), F.max("j").alias("j_to"), F.sum("k").alias("total"))
@@ -475,3 +476,83 @@ def q50(spark, sf):
 def q52(spark, sf):
     rows = lines(spark, sf)
     return rows.select("capture", "j", "h").join(rows.where("capture % 2 = 0").select("h"), "h", "left_anti").select("capture", "j", "h")
+
+
+# --- whole plans: the alignment over sources, and synthetic captures for what works on bytes
+
+
+@query("q42_greedy_align")
+def q42(spark, sf):
+    from strandweave.plans.align import align
+
+    rows = lines(spark, sf).select(F.col("source").alias("capture"), (F.col("capture") * 1000000 + F.col("j")).alias("j"), "h")
+    found = align(rows)
+    return spark.createDataFrame([(t, int(found.shifts[t]), k) for k, t in enumerate(found.chain)], "capture string, shift long, chain_pos int")
+
+
+def synthetic_captures(spark: SparkSession) -> list[str]:
+    """Three damaged captures of one tape, in the shared folder."""
+    import uuid
+
+    from pyarrow import fs
+
+    from strandweave.session import shared_dir
+    from strandweave.sources.synthetic import Tape
+
+    system, folder = fs.FileSystem.from_uri(f"{shared_dir(spark)}/strandweave/captures-{uuid.uuid4().hex}")
+    system.create_dir(folder, recursive=True)
+    tapes = {"A": Tape(0, 400, {50: "cc", 120: "corrupt"}, (200, 201, 202)), "B": Tape(30, 430, {60: "cc"}), "C": Tape(100, 500, {300: "cc"})}
+    out = []
+    for name, tape in tapes.items():
+        with system.open_output_stream(f"{folder}/{name}.m2t") as f:
+            f.write(tape.render())
+        out.append(f"file://{folder}/{name}.m2t" if isinstance(system, fs.LocalFileSystem) else f"{shared_dir(spark)}/strandweave/{folder.rsplit('/', 1)[1]}/{name}.m2t")
+    return out
+
+
+@query("q43_plan")
+def q43(spark, sf):
+    from strandweave.plans.merge_plan import build_plan
+    from strandweave.sources.captures import scan, units
+
+    plan = build_plan(units(scan(spark, synthetic_captures(spark))))
+    rows = [(k, s.tag, s.j0, s.j1, s.ngops, s.nbytes, s.frame0, s.gap_before) for k, s in enumerate(plan.segments)]
+    return spark.createDataFrame(rows, "seg_idx int, tag string, j0 int, j1 int, ngops int, nbytes long, frame0 long, gap_before boolean")
+
+
+@query("q44_scan")
+def q44(spark, sf):
+    from strandweave.sources.captures import scan, units
+
+    rows = units(scan(spark, synthetic_captures(spark)))
+    return rows.select("tag", "i", "off", "end", "nbytes", "npic", "closed", "broken", "pts", "h", "cc", "tei", "dec", "rec", "tc")
+
+
+@query("q45_build_verify")
+def q45(spark, sf):
+    import tempfile
+
+    from strandweave.plans.build import build
+    from strandweave.plans.merge_plan import build_plan
+    from strandweave.plans.verify import verify_build
+    from strandweave.sources.captures import scan, units
+
+    paths = synthetic_captures(spark)
+    plan = build_plan(units(scan(spark, paths)))
+    # Beside the captures, where all executors can write.
+    folder = paths[0].removeprefix("file://").rsplit("/", 1)[0] if paths[0].startswith("file://") else tempfile.mkdtemp()
+    size = build(spark, plan, f"{folder}/merged.out")
+    ok, info = verify_build(spark, f"{folder}/merged.out", plan)
+    return spark.createDataFrame([(ok, size, info["cc"], info["expected_cc"], info["rec_head"], info["rec_tail"])], "ok boolean, size long, cc int, expected_cc int, rec_head string, rec_tail string")
+
+
+@query("q53_packet_filter")
+def q53(spark, sf):
+    from strandweave.sources.captures import packets
+
+    rows = packets(spark, synthetic_captures(spark), 2000)
+    video = rows.where(F.col("pid") == 0x200)
+    start = bits.payload_start(bits.byte_at(F.col("packet"), 3), bits.byte_at(F.col("packet"), 4))
+    name = F.element_at(F.split("path", "/"), -1)
+    again = bits.with_counter(F.col("packet"), F.col("cc") + 1)
+    return video.where(start.isNotNull()).groupBy(name.alias("capture")).agg(F.count("*").alias("packets"), F.count_if("unit_start").alias("starts"), F.count_if(F.length(again) == 188).alias("rewritten"))
