@@ -35,15 +35,19 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size in bytes (file sizes for scans)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+UNKNOWN = 1 << 53  # what the optimizer says of tables it knows nothing of is more than this
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """The optimizer's estimate of df's size in bytes (file sizes for scans); None if it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN else None
 
 
 def parts_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     """Partitions for df's data: by its size, at least the session's setting."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1_000_000, input_bytes(df) // bytes_each))
+    return max(least, (input_bytes(df) or 0) // bytes_each)
 
 
 def _small_batches(spark: SparkSession) -> None:
