@@ -161,14 +161,13 @@ class Model:
         names, values = self.kept
         slot = (keys >> np.uint64(64 - KEPT_BITS)).astype(np.int64)
         miss = np.flatnonzero((names[slot] != keys) | (place < n - 1))
+        total = values[slot]  # before others take the slots
         if len(miss):
             chars = np.stack([points[np.maximum(miss - k, 0)] for k in range(n - 1, -1, -1)], axis=1)
             found = self.log_probabilities(chars, place[miss]).astype(np.float32)
             whole = place[miss] >= n - 1
             names[slot[miss[whole]]] = keys[miss[whole]]
             values[slot[miss[whole]]] = found[whole]
-        total = values[slot]
-        if len(miss):
             total[miss] = found
         total[place == 0] = 0
         sums = np.add.reduceat(total, starts, axis=0, dtype=np.float64) if len(points) else np.zeros((len(texts), len(self.languages)))
