@@ -38,8 +38,9 @@ PIECES = "bucket int, slice long, n int, hashes binary, places binary"
 FOUND = "slice long, kind int, body binary"
 
 
-def _widths(total: int) -> tuple[int, int]:
-    """Hash buckets, and bytes of hash kept within one, for an input of so many bytes."""
+def _widths(total: int | None) -> tuple[int, int]:
+    """Hash buckets, and bytes of hash kept within one, for an input of so many bytes; wide ones if that is unknown."""
+    total = 1 << 53 if total is None else total
     buckets = 1 << min(12, max(8, math.ceil(math.log2(max(total, 1) / (1 << 19) + 1))))
     bits = 2 * math.log2(max(total, 1 << 20)) + 7
     return buckets, min(16, max(7, math.ceil((bits - math.log2(buckets)) / 8)))
