@@ -136,7 +136,7 @@ def _taking_part(least: int, bits: int, table: np.ndarray):
     return run
 
 
-VARIANTS = "v long, role int, hi long, lo long, doc long, mark long, line int"
+VARIANTS = "v long, id long"
 SAME, MORE, BASE = range(3)
 
 
@@ -160,9 +160,8 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = np.ones(len(order), dtype=bool)
         fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (take[order][1:] != take[order][:-1])
         order = order[fresh]
-        picked = pa.array(take[order])
-        others = [batch.column(batch.schema.get_field_index(c)).take(picked) for c in ("hi", "lo", "doc", "mark", "line")]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[order].view(np.int64)), pa.array(role[order]), *others], names=[x.split()[0] for x in VARIANTS.split(", ")])
+        hi = batch.column(batch.schema.get_field_index("hi")).to_numpy()
+        yield pa.record_batch([pa.array(keys[order].view(np.int64)), pa.array(hi[take[order]] << 2 | role[order])], names=["v", "id"])
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -195,11 +194,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     part = rows.select("_id", "text").mapInArrow(_taking_part(least, bits, table), "hi long, lo long, words string")
     part = part.groupBy("hi", "lo").agg(F.min("words").alias("words"))
     part = written(part.join(firsts, ["hi", "lo"]).select("hi", "lo", "words", "first.*"), "taking-part")
-    variants = part.mapInArrow(_variants, VARIANTS)
+    # What is shuffled for every variant is its key and the line's id (62 bits of its hash, and the role); few keys
+    # come twice, and only for those the lines are looked up.
+    variants = part.select("hi", "words").mapInArrow(_variants, VARIANTS)
+    again = variants.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+    met = variants.join(again, "v").select("v", F.col("id").bitwiseAND(3).cast("int").alias("role"), F.shiftright("id", 2).alias("key"))
+    named = part.select(F.shiftright(F.shiftleft("hi", 2), 2).alias("key"), "hi", "lo", "doc", "mark", "line")
+    met = written(met.join(named, "key").drop("key"), "variants")
     line = F.struct("doc", "mark", "line", "hi", "lo")
     pick = lambda role: F.min(F.when(F.col("role") == role, line))
-    keyed = variants.groupBy("v").agg(F.count("*").alias("n"), pick(SAME).alias("same"), pick(MORE).alias("more"), pick(BASE).alias("base")).where("n > 1")
-    met = variants.join(keyed, "v").withColumn("to", F.when(F.col("role") == SAME, F.col("same")).when(F.col("role") == MORE, F.col("base")).otherwise(F.col("more")))
+    keyed = met.groupBy("v").agg(pick(SAME).alias("same"), pick(MORE).alias("more"), pick(BASE).alias("base"))
+    met = met.join(keyed, "v").withColumn("to", F.when(F.col("role") == SAME, F.col("same")).when(F.col("role") == MORE, F.col("base")).otherwise(F.col("more")))
     own = F.struct("doc", "mark", "line")
     pairs = met.where(F.col("to").isNotNull() & (F.struct("to.doc", "to.mark", "to.line") < own)).select("hi", "lo", F.col("to.hi").alias("to_hi"), F.col("to.lo").alias("to_lo")).distinct()
     texts = part.select("hi", "lo", "words")
@@ -207,8 +212,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = pairs.join(texts, ["hi", "lo"]).join(theirs, ["to_hi", "to_lo"]).where(_verified("words", "to_words")).select("hi", "lo").distinct()
     near = written(near, "near")
     every = near.select("hi", "lo", F.lit(True).alias("all"), F.lit(None).cast(firsts.schema["first"].dataType).alias("first"))
-    again = firsts.where("n > 1").select("hi", "lo", F.lit(False).alias("all"), "first")
-    rules = every.unionByName(again).groupBy("hi", "lo").agg(F.max("all").alias("all"), F.min("first").alias("first"))
+    copies = firsts.where("n > 1").select("hi", "lo", F.lit(False).alias("all"), "first")
+    rules = every.unionByName(copies).groupBy("hi", "lo").agg(F.max("all").alias("all"), F.min("first").alias("first"))
     gone = occurs.drop("halves").join(rules, ["hi", "lo"]).where(F.col("all") | (order > F.col("first")))
     return gone.groupBy("doc", "mark").agg(F.collect_set("line").alias("gone"))
 
