@@ -73,4 +73,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": op10_media_columns,
 }
 
-SQL: dict[str, str] = {}
+#: The others need hashes, tokenizers, sketches or fits that SQL lacks; the tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op4_line_dedup": r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS t FROM documents),
+w AS (SELECT doc_id, line, t, doc_id * 1000000 + line AS o, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS a FROM l), z AS (SELECT *, array_to_string(a, ' ') AS s FROM w),
+f AS (SELECT s, any_value(a) AS a, min(o) AS o FROM z WHERE len(a) > 0 GROUP BY s), b AS (SELECT s, md5(s) AS h, o FROM f WHERE len(a) >= 5),
+v AS (SELECT s, o, len(a) AS n, i, md5(array_to_string(list_concat(a[1:i - 1], a[i + 1:]), ' ')) AS h FROM (SELECT s, a, o, unnest(generate_series(1, len(a))) AS i FROM f WHERE len(a) >= 5)),
+g AS (SELECT n, i, h, min(o) AS o FROM v GROUP BY n, i, h), near AS (SELECT v.s FROM v JOIN g ON v.n = g.n AND v.i = g.i AND v.h = g.h AND g.o < v.o
+UNION SELECT v.s FROM v JOIN b ON v.h = b.h AND b.o < v.o UNION SELECT b.s FROM v JOIN b ON v.h = b.h AND v.o < b.o),
+r AS (SELECT z.doc_id, z.line, z.t, f.s IS NOT NULL AND (z.o > f.o OR near.s IS NOT NULL) AS gone FROM z LEFT JOIN f ON z.s = f.s LEFT JOIN near ON z.s = near.s),
+k AS (SELECT doc_id, count(*) AS n_lines, coalesce(string_agg(t, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT doc_id, n_lines, CASE WHEN kept = '' THEN 0 ELSE length(kept) - length(replace(kept, chr(10), '')) + 1 END AS n_kept, sha256(kept) AS kept_sha256 FROM k""",
+    "op6_substring_dedup": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i FROM documents),
+x AS (SELECT doc_id, i, word, CASE WHEN count(*) OVER f = 35 THEN md5(string_agg(word, ' ') OVER f) END AS h FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+d AS (SELECT h FROM x WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1), r AS (SELECT x.*, d.h IS NOT NULL AS again FROM x LEFT JOIN d ON x.h = d.h),
+c AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r),
+k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS m, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS t FROM c GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n, 0) AS n_words, coalesce(m, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN k ON documents.doc_id = k.doc_id""",
+}
