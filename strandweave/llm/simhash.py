@@ -210,7 +210,8 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     index = nodes.select("_fp", F.explode(F.array(*kept)).alias("x")).select("x.*", "_fp")
     near = [F.transform(F.array(*map(F.lit, _ball(mask, r))), _bound(part_key, k, mask)) for k, (mask, r) in enumerate(parts)]
     probes = nodes.select("_fp", F.explode(F.concat(*near)).alias("x")).select("x.*", "_fp")
-    big = index.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BIG)
+    # Written first: the join below then has plain shuffles on both sides, whose large partitions Spark can split.
+    big = written(index.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BIG), "big")
     index = written(index.join(big, ["part", "key"], "left"), "index")
     sizes = index.where("n is not null").groupBy("part", "key").agg(F.max("n").alias("n"))
     probes = probes.join(sizes, ["part", "key"], "left")
