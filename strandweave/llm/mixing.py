@@ -15,8 +15,9 @@ to the last digit.
 Copies: the rate's whole part is taken. For the rest, documents stand in the order
 of hash / fraction, which takes each with about its probability, until the
 source's missing words are reached; the one at the boundary gives only the words
-that are still missing. The boundary is found from a histogram of that order,
-and only its bucket is sorted, so that no task holds a source.
+that are still missing. The boundary is found from a histogram of that order and
+a finer one within its bucket, and only the last bucket is sorted, so that no
+task holds a source.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strandweave.session import written
 
-BINS = 1 << 14
+BINS = 1 << 8
 STEPS = 30
 UNIT = 1 << 20  # decimals of sums are whole numbers of 1/UNIT
 
@@ -137,8 +138,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     # Priority: a uniform hash over the fraction; equal documents get equal ones.
     uniform = (F.pmod(F.xxhash64("_id", "size"), F.lit(1 << 40)).cast("double") + 1) / float(1 << 40)
     each = each.withColumn("_key", F.when((F.col("_part") > 0) & (F.col("size") > 0), F.round(uniform / F.col("_part"), 12)))
-    bucket = F.least(F.floor(F.log1p("_key") * (BINS / 8)), F.lit(BINS - 1)).cast("int")
-    each = each.withColumn("_bin", bucket)
+    each = each.withColumn("_at", F.log1p("_key") * (BINS / 8)).withColumn("_bin", F.least(F.floor("_at"), F.lit(BINS - 1)).cast("int"))
+    each = each.withColumn("_sub", F.least(F.floor((F.col("_at") - F.col("_bin")) * BINS), F.lit(BINS - 1)).cast("int"))
     bins = each.groupBy("source", "target", "_bin").agg(F.sum(F.when(F.col("_bin").isNotNull(), F.col("size")).otherwise(0)).alias("size"), F.sum(F.col("size") * F.col("_whole")).alias("whole"))
     by = W.partitionBy("source")
     missing = F.round(F.col("target")) - F.sum("whole").over(by)
@@ -147,10 +148,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     edge = bins.where("_bin is not null and _before < _missing").groupBy("source").agg(F.max(F.struct("_bin", "_before", "_missing")).alias("e"))
     edge = written(edge.select(F.col("source").alias("_s"), F.col("e._bin").alias("_edge"), F.col("e._before").alias("_before"), F.col("e._missing").alias("_missing")), "edges")
     each = each.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    sure = F.col("_whole") * F.col("size") + F.when(F.col("_bin") < F.col("_edge"), F.col("size")).otherwise(0)
-    others = each.where("_bin is null or _edge is null or _bin <> _edge").withColumn("taken", sure)
+    inner = each.where("_bin = _edge").groupBy("source", "_before", "_missing", "_sub").agg(F.sum("size").alias("size"))
+    inner = inner.withColumn("_before", F.col("_before") + F.sum("size").over(by.orderBy("_sub").rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+    last = inner.where("_before < _missing").groupBy("source").agg(F.max(F.struct("_sub", "_before")).alias("e"))
+    last = written(last.select(F.col("source").alias("_s"), F.col("e._sub").alias("_last"), F.col("e._before").alias("_before")), "edges")
+    each = each.drop("_before").join(F.broadcast(last), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    inside = (F.col("_bin") < F.col("_edge")) | ((F.col("_bin") == F.col("_edge")) & (F.col("_sub") < F.col("_last")))
+    sure = F.col("_whole") * F.col("size") + F.when(inside, F.col("size")).otherwise(0)
+    here = F.coalesce((F.col("_bin") == F.col("_edge")) & (F.col("_sub") == F.col("_last")), F.lit(False))
+    others = each.where(~here).withColumn("taken", sure)
     within = W.partitionBy("source", "_edge").orderBy("_key", "_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    at_edge = each.where("_bin = _edge").withColumn("_done", F.col("_before") + F.sum("size").over(within) - F.col("size"))
+    at_edge = each.where(here).withColumn("_done", F.col("_before") + F.sum("size").over(within) - F.col("size"))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_missing") - F.col("_done")))
     at_edge = at_edge.withColumn("taken", F.col("_whole") * F.col("size") + extra)
     out = ["_id", "source", "size", "source_size", "target", "rate", "taken"]
