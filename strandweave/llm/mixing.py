@@ -30,7 +30,8 @@ from strandweave.session import written
 
 BINS = 1 << 8
 STEPS = 30
-UNIT = 1 << 20  # decimals of sums are whole numbers of 1/UNIT
+UNIT = 1 << 30  # decimals of sums are whole numbers of 1/UNIT
+CLOSE = 1e-6  # of the target's share of a source; rounding into copies meets what is left
 
 
 def n_words(text: Column) -> Column:
@@ -64,7 +65,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
 
 def _exact(x: Column) -> Column:
     """A number whose sums do not depend on their order."""
-    return F.round(x * UNIT).cast("decimal(28,0)")
+    return F.round(x * UNIT).cast("decimal(38,0)")
 
 
 def _sum(x: Column) -> Column:
@@ -97,10 +98,10 @@ def rates(counts: DataFrame, goals: DataFrame, most: float = 2.0) -> DataFrame:
         newton = F.col("tilt") - gap * F.col("all") / F.greatest("slope", F.lit(1e-12))
         step = sums.withColumn("_gap", gap).withColumn("_low", low).withColumn("_high", high).withColumn("_newton", newton)
         inside = (F.col("_newton") > F.col("_low")) & (F.col("_newton") < F.col("_high"))
-        new = F.when(F.abs("_gap") < 1e-9, F.col("tilt")).when(inside, F.col("_newton")).otherwise((F.col("_low") + F.col("_high")) / 2)
+        new = F.when(F.abs("_gap") < CLOSE, F.col("tilt")).when(inside, F.col("_newton")).otherwise((F.col("_low") + F.col("_high")) / 2)
         state = written(step.select("source", "mean", "want", F.round(new, 12).alias("tilt"), F.col("_low").alias("low"), F.col("_high").alias("high"), F.abs("_gap").alias("gap")), "tilts")
         worst = state.agg(F.max(F.when((F.col("want") > 1e-9) & (F.col("want") < most - 1e-9), F.col("gap")))).first()[0]
-        if worst is None or worst < 1e-9:
+        if worst is None or worst < CLOSE:
             break
     return state.select("source", "mean", "tilt")
 
