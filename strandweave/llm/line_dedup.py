@@ -214,6 +214,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every = near.select("hi", "lo", F.lit(True).alias("all"), F.lit(None).cast(firsts.schema["first"].dataType).alias("first"))
     copies = firsts.where("n > 1").select("hi", "lo", F.lit(False).alias("all"), "first")
     rules = every.unionByName(copies).groupBy("hi", "lo").agg(F.max("all").alias("all"), F.min("first").alias("first"))
+    # Written: Spark can split the partitions of a very common line in a join whose sides are plain shuffles.
+    rules = written(rules, "rules")
     gone = occurs.drop("halves").join(rules, ["hi", "lo"]).where(F.col("all") | (order > F.col("first")))
     return gone.groupBy("doc", "mark").agg(F.collect_set("line").alias("gone"))
 
