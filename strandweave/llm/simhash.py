@@ -213,8 +213,7 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     # Written first: the join below then has plain shuffles on both sides, whose large partitions Spark can split.
     big = written(index.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BIG), "big")
     index = written(index.join(big, ["part", "key"], "left"), "index")
-    sizes = index.where("n is not null").groupBy("part", "key").agg(F.max("n").alias("n"))
-    probes = probes.join(sizes, ["part", "key"], "left")
+    probes = written(probes.join(big, ["part", "key"], "left"), "probes")
     few = index.where("n is null").select("part", "key", F.col("_fp").alias("b"))
     asked = probes.where("n is null").select("part", "key", F.col("_fp").alias("a"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
@@ -222,7 +221,7 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     # A big bucket: rows of a block go to all blocks of the other side.
     asking = probes.where("n is not null").select("part", "key", "_fp")
     asks = asking.groupBy("part", "key").agg(F.count("*").alias("asks"))
-    blocks = sizes.join(asks, ["part", "key"]).select("part", "key", F.ceil(F.col("n") / BLOCK).cast("long").alias("kd"), F.ceil(F.col("asks") / BLOCK).cast("long").alias("kp"))
+    blocks = big.join(asks, ["part", "key"]).select("part", "key", F.ceil(F.col("n") / BLOCK).cast("long").alias("kd"), F.ceil(F.col("asks") / BLOCK).cast("long").alias("kp"))
     place = lambda k: F.pmod(F.xxhash64("_fp", F.lit(7)), F.col(k))
     held = index.where("n is not null").join(blocks, ["part", "key"]).select("part", "key", F.explode(F.sequence(F.lit(0), F.col("kp") - 1)).alias("p"), place("kd").alias("d"), "_fp")
     sent = asking.join(blocks, ["part", "key"]).select("part", "key", place("kp").alias("p"), F.explode(F.sequence(F.lit(0), F.col("kd") - 1)).alias("d"), "_fp")
