@@ -147,6 +147,23 @@ def rephase(edges: DataFrame, part: Sequence[str], order: str, modulus: int = 16
     return with_step.withColumn("offset", F.pmod(F.sum("_step").over(_upto(part, order)), F.lit(modulus)).cast("int")).drop("_step")
 
 
+def previous(df: DataFrame, order: str, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Adds prev_<column>: the values of the row before in one order of all rows.
+
+    Rows go to buckets between quantiles of `order` (unique numbers), and each bucket
+    looks at its own rows; the first of a bucket gets the last row of the bucket
+    before. Only one row per bucket meets in one task.
+    """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(order, [k / n for k in range(1, n)] or [1.0]).alias("_cuts"))
+    placed = df.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    own = placed.withColumn("_own", F.lag(F.struct(*columns)).over(_by(["_b"], order)))
+    edges = placed.groupBy("_b").agg(F.max_by(F.struct(*columns), F.col(order)).alias("_last"))
+    edges = edges.select("_b", F.lag("_last").over(W.orderBy("_b")).alias("_edge"))
+    found = own.join(F.broadcast(edges), "_b").withColumn("_own", F.coalesce("_own", "_edge"))
+    return found.select(*df.columns, *(F.col(f"_own.{c}").alias(f"prev_{c}") for c in columns))
+
+
 def missing_ranges(intervals: DataFrame, part: Sequence[str], lo: str, hi: str) -> DataFrame:
     """Ranges of whole numbers between the least and greatest that no interval covers."""
     reach = F.max(hi).over(_before(part, lo, hi))

@@ -260,6 +260,13 @@ def q27(spark, sf):
     return O.missing_ranges(rows, ["o_orderstatus"], "lo", "hi")
 
 
+@query("q55_missing_ranges_all", """WITH i AS (SELECT o_orderstatus, o_custkey AS lo, o_custkey + o_orderkey % 2 AS hi FROM orders),
+r AS (SELECT *, max(hi) OVER (PARTITION BY o_orderstatus ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM i) SELECT o_orderstatus, m + 1 AS gap_from, lo - 1 AS gap_to FROM r WHERE lo > m + 1""")
+def q55(spark, sf):
+    rows = _t(spark, sf, "orders").select("o_orderstatus", F.col("o_custkey").alias("lo"), (F.col("o_custkey") + F.col("o_orderkey") % 2).alias("hi"))
+    return O.missing_ranges(rows, ["o_orderstatus"], "lo", "hi")
+
+
 @query("q28_source_summary", f"""WITH {E} SELECT capture, count(*) AS n, sum(k)::BIGINT AS frames, count(*) FILTER (WHERE event_type = 'error') AS damaged, count(DISTINCT event_type) AS n_types,
 arg_min(cents, j) FILTER (WHERE event_type = 'purchase') AS first_purchase, arg_max(cents, j) FILTER (WHERE event_type = 'purchase') AS last_purchase FROM e GROUP BY capture""")
 def q28(spark, sf):
@@ -449,6 +456,14 @@ def q47(spark, sf):
     return ends.select("capture", F.lag("capture").over(w).alias("prev"), (F.col("head") == F.lag("tail").over(w)).alias("joined")).where("prev is not null")
 
 
+@query("q54_seam_check_all", f"""WITH {L}, n AS (SELECT capture, max(j) AS last FROM l GROUP BY 1), s AS (SELECT capture, lag(capture) OVER (ORDER BY capture) AS prev FROM n)
+SELECT s.capture, s.prev, a.h = b.h AS joined FROM s JOIN l a ON a.capture = s.capture AND a.j = 0 JOIN n ON n.capture = s.prev JOIN l b ON b.capture = s.prev AND b.j = n.last WHERE s.prev IS NOT NULL""")
+def q54(spark, sf):
+    ends = lines(spark, sf).groupBy("capture").agg(F.min_by("h", "j").alias("head"), F.max_by("h", "j").alias("tail"))
+    found = O.previous(ends, "capture", ["capture", "tail"])
+    return found.where("prev_capture is not null").select("capture", F.col("prev_capture").alias("prev"), (F.col("head") == F.col("prev_tail")).alias("joined"))
+
+
 @query("q48_output_offsets", f"""WITH {E}, x AS (SELECT capture, j, k * 188 AS nbytes, CASE WHEN event_type = 'signup' AND j > 0 THEN 188 ELSE 0 END AS mark FROM e)
 SELECT capture, j, (coalesce(sum(nbytes + mark) OVER (PARTITION BY capture ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + mark)::BIGINT AS out_off FROM x""")
 def q48(spark, sf):

@@ -115,3 +115,26 @@ def test_clock_parsing(spark):
     rows = frame(spark, [("01:02:03:05", "2007-01-01 09:00:00"), ("01:02:03;05", "2007-01-01"), ("x", "2007-02-31 09:00:00"), (None, None), ("1:2:3", "soon")], "tc string, rec string")
     got = rows.select(clocks.timecode_seconds(F.col("tc")).alias("s"), clocks.wall_clock(F.col("rec")).isNotNull().alias("w")).collect()
     assert [r.s for r in got] == [3723.2, 3723.2, None, None, None] and [r.w for r in got] == [True, False, False, False, False]
+
+
+def test_previous_looks_at_every_row(spark):
+    rnd = random.Random(7)
+    rows = [(k, f"v{k}") for k in rnd.sample(range(-50, 5000), 300)] + [(1 << 40, None)]
+    order = sorted(rows)
+    want = [(k, *((None, None) if i == 0 else order[i - 1])) for i, (k, _) in enumerate(order)]
+    for buckets in (None, 1, 7, 400):
+        got = O.previous(frame(spark, rows, "k long, v string").repartition(9), "k", ["k", "v"], buckets).collect()
+        assert sorted((r.k, r.prev_k, r.prev_v) for r in got) == want
+    assert O.previous(frame(spark, [], "k long, v string"), "k", ["k", "v"]).count() == 0
+
+
+def test_whole_queries_leave_no_rows_out(spark):
+    import os
+
+    from strandweave.plans import driver_queries as D
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    segments = D.lines(spark, sf).select("capture").distinct().count()
+    seams = D.QUERIES["q54_seam_check_all"](spark, sf).collect()
+    assert len(seams) == segments - 1 and {r.capture % 10 for r in seams} == set(range(10))
+    assert D.QUERIES["q55_missing_ranges_all"](spark, sf).count() < D.QUERIES["q27_missing_ranges"](spark, sf).count()
