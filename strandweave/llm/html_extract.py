@@ -4,8 +4,8 @@ A text node's path is the chain of tags from the root to it. All text nodes of a
 page with one path share a ratio (their mean length) and a punctuation ratio.
 Along the page both are smoothed, so that a short paragraph between long ones
 counts as they do, and fused with the raw ratio; paths whose fused score passes
-a threshold are content. The element that holds nearly all content is the
-article; its blocks are the text, without the elements that by their tag, role,
+a threshold are content. The article and main elements that hold content, or
+else the lowest container of all of it, are the text, block by block, without the elements that by their tag, role,
 class or id are menus, headers, footers, sidebars, notices, adverts, forms or
 reader comments.
 """
@@ -47,6 +47,8 @@ NAMES_LEFT_OUT = set(
 )
 ROLES_LEFT_OUT = set("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
 HOMES = ("article", "main")
+SECTIONS = ("article", "main", "section", "div", "center", "body", "html")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
 class _Element:
@@ -136,6 +138,26 @@ def _nodes(page: str) -> list[tuple[_Element, str, int]]:
     return out
 
 
+def _homes(weight: dict[_Element, int], total: int) -> set[_Element]:
+    """The elements whose blocks are the text: all article and main elements with content, if they
+    hold most of it, or else the lowest container of all content."""
+    tops: dict[_Element, _Element] = {}
+    for e in weight:
+        if e.tag in HOMES:
+            top, up = e, e.parent
+            while up is not None:
+                top, up = up if up.tag in HOMES else top, up.parent
+            # An article in a main element that has no other content stands for it.
+            if weight[e] == weight[top] and (top not in tops or tops[top].depth < e.depth):
+                tops[top] = e
+    if tops and sum(weight[e] for e in tops) >= 0.5 * total:
+        return set(tops.values())
+    home = max((e for e in weight if weight[e] == total), key=lambda e: e.depth)
+    while home.parent and home.tag not in SECTIONS and "-" not in home.tag:
+        home = home.parent
+    return {home}
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page: blocks joined by an empty line; "" if there is none."""
     nodes = [n for n in _nodes(page or "") if not n[0].left_out]
@@ -158,7 +180,6 @@ def main_text(page: str | None) -> str:
     spread = math.sqrt(sum((x - middle) ** 2 for x in raw) / len(raw))
     limit = min(0.5 * spread, max(fused.values()))
     content = {p for p, x in fused.items() if x >= limit}
-    # The deepest element that holds nearly all content, an article or main element before others.
     weight: dict[_Element, int] = defaultdict(int)
     total = 0
     for e, t in solid:
@@ -168,20 +189,29 @@ def main_text(page: str | None) -> str:
             while up is not None:
                 weight[up] += len(t)
                 up = up.parent
-    homes = [e for e in weight if e.tag in HOMES and weight[e] >= 0.5 * total]
-    home = max(homes, key=lambda e: (weight[e], e.depth)) if homes else max((e for e in weight if weight[e] >= 0.8 * total and e.tag not in ("p", "b", "i", "a", "span")), key=lambda e: e.depth)
+    homes = _homes(weight, total)
     blocks: dict[int, list[str]] = defaultdict(list)
     chosen: set[int] = set()
+    heads: set[int] = set()
     for e, t, block in nodes:
-        up = e
-        while up is not None and up is not home:
-            up = up.parent
+        up, below = e, None
+        head = False
+        while up is not None and up not in homes:
+            head = head or up.tag in HEADINGS
+            up, below = up.parent, up
         if up is not None:
             blocks[block].append(t)
-            if e.path in content:
+            # Of a page without a container, the branches that hold content.
+            if up.tag not in ("html", "body") or e.path in content or below is not None and below.tag in SECTIONS and below in weight:
                 chosen.add(block)
-    whole = home.tag not in ("html", "body")
-    texts = (" ".join("".join(parts).split()) for block, parts in sorted(blocks.items()) if whole or block in chosen)
+            elif head:
+                heads.add(block)
+    # What lies between content belongs to it, and headings right before it.
+    order = sorted(blocks)
+    first, last = order.index(min(chosen)), order.index(max(chosen))
+    while first and order[first - 1] in heads:
+        first -= 1
+    texts = (" ".join("".join(parts).split()) for parts in (blocks[k] for k in order[first : last + 1]))
     return "\n\n".join(t for t in texts if t)
 
 

@@ -39,3 +39,15 @@ def test_messy_rows(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
     assert extract(spark.createDataFrame([], schema)).count() == 0
     assert messy.WORDS
+
+
+def test_all_sections_are_kept():
+    more = f"{LONG} " * 10
+    a, b = more.strip(), LONG
+    sections = f"<body><div id=content><div class=sec><h2>One</h2><p>{a}</p></div><div class=sec><h2>Two</h2><p>{b}</p></div></div></body>"
+    assert main_text(sections) == f"One\n\n{a}\n\nTwo\n\n{b}"
+    assert main_text(f"<body><article><p>{LONG} {LONG}</p></article><article><p>{b}</p></article></body>") == f"{LONG} {LONG}\n\n{b}"
+    for tag in ("blockquote", "pre", "td", "li"):
+        assert main_text(f"<body><div><p>{b}</p><{tag}>{a}</{tag}><p>Ok</p></div></body>").split("\n\n") == [b, a, "Ok"], tag
+    assert main_text(f"<body><h1>Head</h1><p>{a}</p><p>Ok</p><p>{a}</p></body>") == f"Head\n\n{a}\n\nOk\n\n{a}"
+    assert main_text(f"<main><div>Path</div><article><p>{a}</p></article></main>") == a
