@@ -31,7 +31,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _LOOSE = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>[^>]*)>")
-_ATTRS = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRS = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[.,;:!?。，…\"'()¿¡]")
 
@@ -45,37 +45,89 @@ NAMES_LEFT_OUT = set(
     "sidebar side aside footer foot header masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login search "
     "comment comments reply replies respond disqus related recommended share sharing social widget toolbar pagination pager copyright legal disclaimer skip".split()
 )
+# Words that go with those in one name ("site-footer"); any other word makes it another thing's name ("related-work").
+NAMES_BESIDE = set(
+    "site page main global top bottom left right primary secondary sticky fixed mobile desktop inner outer wrapper wrap container box block section area region "
+    "bar list item items links link posts articles stories content form buttons button icons icon row col column group holder unit slot inline main post entry article user".split()
+)
+# Whose headers and footers are text of the article.
+ARTICLE_WORDS = set("article post entry content".split())
 ROLES_LEFT_OUT = set("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
 HOMES = ("article", "main")
 SECTIONS = ("article", "main", "section", "div", "center", "body", "html")
+PROSE = set("p blockquote pre h1 h2 h3 h4 h5 h6 b i em strong span a code q cite small mark".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
+def _is_left_out(name: str) -> bool:
+    """Whether a class or id is made of names that are left out, and words that go with them."""
+    words = {w.lower() for w in _NAME.findall(name)}
+    if words & ARTICLE_WORDS and words & NAMES_LEFT_OUT <= {"header", "head", "footer", "foot"}:
+        return False
+    return name.lower() in NAMES_LEFT_OUT or bool(words & NAMES_LEFT_OUT) and words <= NAMES_LEFT_OUT | NAMES_BESIDE
+
+
 class _Element:
-    __slots__ = ("tag", "parent", "left_out", "path", "depth", "home")
+    __slots__ = ("tag", "parent", "left_out", "named", "path", "depth", "home")
 
     def __init__(self, tag: str, parent: "_Element | None", attrs: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.home = tag in HOMES or bool(parent and parent.home)
-        self.left_out = bool(parent and parent.left_out) or tag in LEFT_OUT or tag == "header" and not (parent and parent.home)
+        self.left_out = bool(parent and parent.left_out) or tag in LEFT_OUT and tag != "form" or tag == "header" and not (parent and parent.home)
+        # Left out by its name or role, unless it holds the article (_without_named).
+        self.named = tag == "form"
         name = ""
         if attrs:
+            seen = set()
             for key, a, b, c in _ATTRS.findall(attrs):
-                key, value = key.lower(), a or b or c
+                key, value = key.lower(), html.unescape(a or b or c)
+                if key in seen:
+                    continue
+                seen.add(key)
                 if key in ("class", "id"):
-                    words = {w.lower() for w in _NAME.findall(value)}
-                    if tag not in ("html", "body", *HOMES) and words & NAMES_LEFT_OUT:
-                        self.left_out = True
+                    if tag not in ("html", "body", *HOMES) and any(map(_is_left_out, value.split())) and not (self.home and tag in PROSE):
+                        self.named = True
                     if key == "class":
                         name = "." + value
-                elif key == "role" and value.lower() in ROLES_LEFT_OUT or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+                elif key == "role" and value.strip().lower() in ROLES_LEFT_OUT:
+                    self.named = True
+                elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true":
                     self.left_out = True
                 elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     self.left_out = True
         self.path = (parent.path if parent else "") + "/" + tag + name
 
 
+def _without_named(nodes: list[tuple[_Element, str, int]]) -> list[tuple[_Element, str, int]]:
+    """The nodes outside elements left out by name; one that holds all of the page's articles, or
+    of a page without any more than half of the text, is not left out."""
+    held, articles = defaultdict(int), defaultdict(int)
+    total = inside = 0
+    for e, t, _ in nodes:
+        n = len(t.strip())
+        total += n
+        inside += n if e.home else 0
+        up: _Element | None = e
+        while up is not None:
+            if up.named:
+                held[up] += n
+                # An article around the element is not in it.
+                if e.home and not up.home:
+                    articles[up] += n
+            up = up.parent
+    if not held:
+        return nodes
+    out = {e for e in held if not (articles[e] == inside if inside else held[e] > 0.5 * total)}
+
+    def kept(e: _Element | None) -> bool:
+        while e is not None and e not in out:
+            e = e.parent
+        return e is None
+
+    return [n for n in nodes if kept(n[0])]
+
+
 def _nodes(page: str) -> list[tuple[_Element, str, int]]:
     """Text nodes in order: their element, decoded text, and the number of their block."""
     root = _Element("html", None, "")
@@ -160,7 +212,7 @@ def _homes(weight: dict[_Element, int], total: int) -> set[_Element]:
 
 def main_text(page: str | None) -> str:
     """The main text of one page: blocks joined by an empty line; "" if there is none."""
-    nodes = [n for n in _nodes(page or "") if not n[0].left_out]
+    nodes = _without_named([n for n in _nodes(page or "") if not n[0].left_out])
     solid = [(e, t) for e, t, _ in nodes if t.strip()]
     if not solid:
         return ""

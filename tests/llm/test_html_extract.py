@@ -51,3 +51,19 @@ def test_all_sections_are_kept():
         assert main_text(f"<body><div><p>{b}</p><{tag}>{a}</{tag}><p>Ok</p></div></body>").split("\n\n") == [b, a, "Ok"], tag
     assert main_text(f"<body><h1>Head</h1><p>{a}</p><p>Ok</p><p>{a}</p></body>") == f"Head\n\n{a}\n\nOk\n\n{a}"
     assert main_text(f"<main><div>Path</div><article><p>{a}</p></article></main>") == a
+
+
+def test_names_that_leave_no_text_out():
+    a, b = f"{LONG} {LONG}", LONG
+    for attrs in ('href="/hidden-valley"', 'title="a hidden road"', 'href="/p?id=search"', 'data-id="related-1"', "data-hidden", "href=/p?class=ad"):
+        assert main_text(f"<article><p>{a} <a {attrs}>these words</a> end</p></article>") == f"{a} these words end", attrs
+    for name in ("layout has-sidebar", "page with-sidebar", "sidebar", "content-ad"):
+        assert main_text(f"<body><div class='{name}'><article><p>{a}</p></article></div></body>") == a, name
+        assert main_text(f"<body><div class='{name}'><div><p>{a}</p><p>{b}</p></div></div></body>") == f"{a}\n\n{b}", name
+    assert main_text(f"<body><form><div><p>{a}</p></div></form></body>") == a
+    kept = f"<article><div class='article-header'><p>{b}</p></div><p>{a}</p><p class=legal>{b}</p><section class='related-work'><p>{a}</p></section></article>"
+    assert main_text(kept) == f"{b}\n\n{a}\n\n{b}\n\n{a}"
+    for attrs in ("class='site-footer'", "id=related-posts", "class='x comments'", "role=navigation", "hidden", "CLASS='main-nav'"):
+        assert main_text(f"<body><div {attrs}><p>{b}</p></div><article><p>{a}</p><div {attrs}><p>{b}</p></div></article></body>") == a, attrs
+    thread = f"<div class='comments'><article><p>{a}</p></article></div>"
+    assert main_text(f"<body><article><p>{a}</p></article>{thread}</body>") == a
