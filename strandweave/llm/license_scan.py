@@ -37,10 +37,14 @@ TEMPLATES: dict[str, list[str]] = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "MIT License",
+        "SPDX-License-Identifier: MIT",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Apache License 2.0",
+        "SPDX-License-Identifier: Apache-2.0",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -62,6 +66,8 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    # Its words alone, without a license.
+    "LicenseRef-All-Rights-Reserved": ["All rights reserved."],
 }
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -148,11 +154,17 @@ class Scanner:
     def __init__(self, templates: dict[str, list[str]], shingle: int = SHINGLE, containment: float = CONTAINMENT, miss: float = MISS):
         self.shingle, self.containment = shingle, containment
         self.templates: list[Template] = []
+        # Notices of fewer words than a shingle, by length: their hashes, sorted, and the license of each.
+        short: dict[int, set[tuple[int, str]]] = {}
         for name, texts in templates.items():
             for text in texts:
-                h, at = _shingles(_folded(texts_of(pa.array([text]))), shingle)
-                if len(h):
+                words = _folded(texts_of(pa.array([text])))
+                h, at = _shingles(words, shingle)
+                if 0 < (n := len(words.starts)) < shingle:
+                    short.setdefault(n, set()).add((int(words.windows(n, words.hashes())[1][0]), name))
+                elif len(h):
                     self.templates.append(Template(name, np.unique(h), len(h)))
+        self.short = {n: (np.array([h for h, _ in sorted(own)], dtype=np.uint64), [name for _, name in sorted(own)]) for n, own in sorted(short.items())}
         self.bands = bands_for(containment, miss)
         self.family = _family(self.bands * ROWS)
         self.classes: list[Class] = []
@@ -183,9 +195,23 @@ class Scanner:
                 out.update((row, c.templates[j], start, end) for j in np.flatnonzero(shared))
         return out
 
+    def notices(self, words: Words) -> Iterator[tuple[int, str, int]]:
+        """(row, license, first word) of every place where a notice shorter than a shingle stands."""
+        if not self.short:
+            return
+        hashes = words.hashes()
+        for n, (known, names) in self.short.items():
+            at, h = words.windows(n, hashes)
+            hits = np.flatnonzero(np.isin(h, known))
+            rows = np.searchsorted(words.offsets, at[hits], side="right") - 1
+            for row, place, x in zip(rows.tolist(), at[hits].tolist(), h[hits], strict=True):
+                for k in range(int(np.searchsorted(known, x)), int(np.searchsorted(known, x, side="right"))):
+                    yield row, names[k], place - int(words.offsets[row])
+
     def scan(self, texts: Texts) -> list[tuple[int, str, float, int, int]]:
         """(row, license, containment, first word, windows) of every license that a text holds."""
-        h, at = _shingles(_folded(texts), self.shingle)
+        words = _folded(texts)
+        h, at = _shingles(words, self.shingle)
         best: dict[tuple[int, str], tuple[float, int]] = {}
         count: dict[tuple[int, str], int] = {}
         for row, k, start, end in sorted(self.candidates(h, at)):
@@ -196,6 +222,10 @@ class Scanner:
                 first = start - int(at[row])
                 best[key] = max(best.get(key, (0.0, 0)), (share, -first))
                 count[key] = count.get(key, 0) + 1
+        for row, name, first in self.notices(words):
+            key = (row, name)
+            best[key] = max(best.get(key, (0.0, 0)), (1.0, -first))
+            count[key] = count.get(key, 0) + 1
         return [(row, name, share, -first, count[row, name]) for (row, name), (share, first) in sorted(best.items())]
 
 
@@ -216,8 +246,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     (the best share of the template's shingles in one window), first_shingle (where
     that window starts) and n_windows (windows that hold the template). Null and
     empty texts hold none; null ids and repeated rows are reported as they come; a
-    template of fewer words than a shingle is one shingle of all its words and
-    matches such texts only. An empty table gives an empty one; other columns are
+    template of fewer words than a shingle is looked up over all windows of its
+    length, each place counts as a window, with the first word as its start. An
+    empty table gives an empty one; other columns are
     not looked at.
     """
     scanner = Scanner(TEMPLATES if templates is None else templates, shingle, containment)

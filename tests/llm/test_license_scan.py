@@ -52,3 +52,12 @@ def test_messy_rows(spark):
     got = L.scan_licenses(messy.simple(spark, [(1, text), (1, text), (None, text), (2, None)])).collect()
     assert sorted((r.doc_id is None, r.license) for r in got) == [(False, "Apache-2.0")] * 2 + [(True, "Apache-2.0")]
     assert L.scan_licenses(docs, templates={}).count() == 0
+
+
+def test_short_notices_inside_texts():
+    pad = "lorem ipsum dolor sit amet " * 30
+    texts = [f"{pad}\nAll rights reserved.\n{pad}", f"{pad} MIT License {pad} (mit license)", "all rights\nreserved", "rights reserved", "All rights", "x MIT", f"{pad}SPDX-License-Identifier: Apache-2.0", None, "", "License MIT"]
+    got = L.Scanner(L.TEMPLATES).scan(texts_of(pa.array([t or "" for t in texts])))
+    assert got == [(0, "LicenseRef-All-Rights-Reserved", 1.0, 150, 1), (1, "MIT", 1.0, 150, 2), (2, "LicenseRef-All-Rights-Reserved", 1.0, 0, 1), (6, "Apache-2.0", 1.0, 150, 1)]
+    own = L.Scanner({"A": ["one", "two words"], "B": ["two words"], "C": ["", "a b c d e"]})
+    assert [x[:2] for x in own.scan(texts_of(pa.array(["say one", "some two words here", "a b c d e", "b"])))] == [(0, "A"), (1, "A"), (1, "B"), (2, "C")]
