@@ -281,12 +281,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
-    picked = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    langs = [r["lang"] for r in picked.orderBy("lang").collect()]
+    # Distinct texts, within some 5 %: copies don't count against the sample.
+    picked = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    langs = sorted(r["lang"] for r in picked)
     if not langs:
         return Model([], np.zeros(0), [], np.zeros(0))
-    # The hash limit that about 2 * sample rows of a language pass; no sort of all rows.
-    limits = {r["lang"]: min(1.0, 3.0 * sample / r["n"]) for r in picked.collect()}
+    # The hash limit that about 3 * sample texts of a language pass; no sort of all rows.
+    limits = {r["lang"]: min(1.0, 3.0 * sample / max(r["n"], 1)) for r in picked}
     share = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
     chosen = rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) <= share[F.col("lang")] * float(1 << 30))
     got = sorted((r["lang"], r["h"], r["text"]) for r in chosen.dropDuplicates(["lang", "h"]).collect())

@@ -67,3 +67,14 @@ def test_messy_rows(spark):
     assert L.identify(messy.empty(spark)).count() == 0 and L.drop_rejected(messy.empty(spark)).count() == 0
     unlabelled = messy.simple(spark, [(1, "alpha"), (None, None)])
     assert {r.lang_pred for r in L.identify(unlabelled).collect()} == {"und"}
+
+
+def test_copies_dont_shrink_the_sample(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    sizes = []
+    monkeypatch.setattr(L, "_kneser_ney", lambda texts, order, own=L._kneser_ney: sizes.append([len(t) for t in texts]) or own([t[:20] for t in texts], order))
+    k = F.col("id")
+    rows = spark.range(40000).select(F.when(k % 2 == 0, "de").otherwise("en").alias("lang"), F.when(k < 4000, F.concat(F.lit("some text "), F.md5(k.cast("string")))).otherwise(F.lit("a copy")).alias("text"))
+    L.fit(rows)
+    assert sizes == [[L.SAMPLE, L.SAMPLE]]
