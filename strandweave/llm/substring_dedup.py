@@ -46,6 +46,14 @@ def _widths(total: int | None) -> tuple[int, int]:
     return buckets, min(16, max(7, math.ceil((bits - math.log2(buckets)) / 8)))
 
 
+def _rest(high: np.ndarray, low: np.ndarray, taken: int, width: int) -> np.ndarray:
+    """The 128 bits of both hashes without the first `taken` ones, cut to `width` bytes."""
+    out = np.empty((len(high), 2), dtype=">u8")
+    out[:, 0] = (high << np.uint64(taken)) | (low >> np.uint64(64 - taken))
+    out[:, 1] = low << np.uint64(taken)
+    return np.ascontiguousarray(out.view(np.uint8).reshape(-1, 16)[:, :width])
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Rising numbers as differences, in two bytes each where that is enough."""
     gaps = np.diff(values, prepend=0)
@@ -83,13 +91,7 @@ def _hash_windows(size: int, buckets: int, width: int):
             by = (high[sent] >> shift).astype(np.int64)
             cut = np.searchsorted(by, np.arange(buckets + 1))
             # The bucket is the hash's top bits; the rest of it, then the second hash, follow in `width` bytes.
-            rest = np.empty((len(sent), 16), dtype=np.uint8)
-            rest[:, :8] = np.ascontiguousarray(high[sent] << np.uint64(int(math.log2(buckets)))).astype(">u8").view(np.uint8).reshape(-1, 8)
-            rest[:, 8:] = np.ascontiguousarray(low[sent]).astype(">u8").view(np.uint8).reshape(-1, 8)
-            if width > 8:  # no gap between the two hashes
-                rest[:, 7] = rest[:, 8]
-                rest[:, 8:15] = rest[:, 9:16]
-            rest = np.ascontiguousarray(rest[:, :width])
+            rest = _rest(high[sent], low[sent], int(math.log2(buckets)), width)
             place = at[sent]
             table = ids.tobytes() + marks.tobytes() + words.offsets.astype(np.int64).tobytes() + np.packbits(again).tobytes()
             rows: list[tuple[int, int, bytes, bytes]] = [(own % buckets, -len(ids), table, b"")]

@@ -54,3 +54,15 @@ def test_widths_follow_the_size():
         windows = float(1 << 53 if total is None else total)
         bits = np.log2(buckets) + 8 * width
         assert windows**2 / 2 ** (bits + 1) < 0.01 and 7 <= width <= 16
+
+
+def test_all_kept_bits_come_from_the_hashes():
+    rnd = np.random.default_rng(3)
+    high, low = rnd.integers(0, 1 << 64, (2, 50), dtype=np.uint64)
+    for taken in (8, 10, 12):
+        for width in range(7, 16):
+            want = [((int(h) << 64 | int(x)) << taken & (1 << 128) - 1).to_bytes(16)[:width] for h, x in zip(high, low, strict=True)]
+            assert [bytes(r) for r in D._rest(high, low, taken, width)] == want
+    # One first hash, 4,096 second ones: 8 bytes after 12 bits of bucket tell them apart.
+    first, second = np.full(4096, 7, dtype=np.uint64), np.arange(4096, dtype=np.uint64) << np.uint64(52)
+    assert len(np.unique(D._rest(first, second, 12, 8), axis=0)) == 4096
