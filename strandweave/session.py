@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,29 +11,56 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster whose session does not say which folder all its machines share."""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
-    Only where the session names none (tests on one machine), a temporary
-    folder is made and set for the session.
+    Only where the session names none and runs on one machine (master local),
+    a temporary folder is made and set for the session; on a cluster that would
+    be another folder on each machine, so NoSharedFolder is raised.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _in_hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop has them."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), there
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts the lineage and survives the loss of executors. zstd keeps the
-    copy small; the schema is passed on so that empty tables can be read.
+    copy small; the schema is passed on so that empty tables can be read. The
+    tables of an application stand in one folder, which goes when it ends;
+    discard() removes one before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandweave/{name}-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/strandweave/{spark.sparkContext.applicationId}"
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, there = _in_hadoop(spark, home)
+    system.deleteOnExit(there)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strandweave_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written() tables that no plan needs any more."""
+    for table in tables:
+        system, there = _in_hadoop(table.sparkSession, table._strandweave_path)
+        system.delete(there, True)
 
 
 UNKNOWN = 1 << 53  # what the optimizer says of tables it knows nothing of is more than this
