@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.session import written
+from strandweave.session import discard, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,7 +15,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     a node of its component, the same for all. Each round every node follows its
     neighbour of the least rank (a hash, so that no order in the values makes long
     chains) two steps, and links are renamed; the links that are left fall
-    geometrically. Every round is written to the shared folder. Links with a null
+    geometrically. Every round is written to the shared
+    folder; what later rounds don't read is removed. Links with a null
     end or both ends alike are ignored; repeated links do no harm; an empty table
     gives an empty one.
     """
@@ -33,7 +34,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         steps.append(step)
         to = lambda c: step.select(F.col("node").alias(c), F.col("root").alias(f"{c}2"))  # noqa: E731, B023
         renamed = left.join(to("a"), "a").join(to("b"), "b").where("a2 <> b2")
-        left = written(renamed.select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct(), "links")
+        before, left = left, written(renamed.select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct(), "links")
+        discard(before, up)
     if not steps:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = steps[-1]

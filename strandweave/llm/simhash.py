@@ -24,16 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.graph import components
 from strandweave.llm.words import sliced, texts_of
-from strandweave.session import parts_for, written
+from strandweave.session import discard, parts_for, written
 
 SAMPLE = 4096  # fingerprints that the candidate counts are estimated from
 BIG = 128  # bucket size beyond which blocks are used
-BLOCK = 2048
+BLOCK = 2048  # fingerprints of a block at most
+SPREAD, LEAST_BLOCK = 8, 256  # a bucket has so many blocks unless they were smaller than this
 _SIGN = 1 << 63
 
 
@@ -72,16 +73,16 @@ def _prints(size: int):
                 sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
                 over = sums * 2 > counts[full][:, None]
                 out[full] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64), pa.int64())], names=["_id", "_fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64), pa.int64()), batch.column(2)], names=["_id", "_fp", "_mark"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """_id and _fp (a signed long) of every row; 0 for null texts and those without words."""
+    """_id, _fp (a signed long) and _mark (a hash of the text) of every row; _fp is 0 for null texts and those without words."""
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(_prints(size), f"_id {kind}, _fp long")
+    return rows.withColumn("_mark", F.xxhash64("text")).mapInArrow(_prints(size), f"_id {kind}, _fp long, _mark long")
 
 
 def _joint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +200,16 @@ def _block_links(distance: int):
     return run
 
 
-def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
-    """Links a, b between fingerprints (nodes: distinct _fp) that hold the same components as all pairs within the distance."""
+def _blocks(n: Column) -> Column:
+    """How many blocks a bucket of n fingerprints has."""
+    return F.greatest(F.ceil(n / BLOCK), F.least(F.lit(SPREAD), F.ceil(n / LEAST_BLOCK))).cast("long")
+
+
+def links(nodes: DataFrame, distance: int = 3, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """Links a, b between fingerprints (nodes: distinct _fp) that hold the same components as all pairs within the distance.
+
+    scratch gets the tables that the links are made of, which can go once the links are written.
+    """
     n = nodes.count()
     bounded = nodes.select("_fp").orderBy(F.xxhash64("_fp"), "_fp").limit(SAMPLE)
     sample = np.array([r[0] for r in bounded.collect()], dtype=np.int64).view(np.uint64)
@@ -210,7 +219,7 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     index = nodes.select("_fp", F.explode(F.array(*kept)).alias("x")).select("x.*", "_fp")
     near = [F.transform(F.array(*map(F.lit, _ball(mask, r))), _bound(part_key, k, mask)) for k, (mask, r) in enumerate(parts)]
     probes = nodes.select("_fp", F.explode(F.concat(*near)).alias("x")).select("x.*", "_fp")
-    # Written first: the join below then has plain shuffles on both sides, whose large partitions Spark can split.
+    # Each is written before it meets the other: the joins then have plain shuffles on both sides, whose large partitions Spark can split.
     big = written(index.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BIG), "big")
     index = written(index.join(big, ["part", "key"], "left"), "index")
     probes = written(probes.join(big, ["part", "key"], "left"), "probes")
@@ -219,39 +228,58 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     pairs = asked.join(few, ["part", "key"]).where(close).select("a", "b")
     # A big bucket: rows of a block go to all blocks of the other side.
-    asking = probes.where("n is not null").select("part", "key", "_fp")
-    asks = asking.groupBy("part", "key").agg(F.count("*").alias("asks"))
-    blocks = big.join(asks, ["part", "key"]).select("part", "key", F.ceil(F.col("n") / BLOCK).cast("long").alias("kd"), F.ceil(F.col("asks") / BLOCK).cast("long").alias("kp"))
+    asking = probes.where("n is not null").select("part", "key", "n", "_fp")
+    asks = asking.groupBy("part", "key").agg(F.max("n").alias("n"), F.count("*").alias("asks"))
+    blocks = written(asks.select("part", "key", _blocks(F.col("n")).alias("kd"), _blocks(F.col("asks")).alias("kp")), "blocks")
     place = lambda k: F.pmod(F.xxhash64("_fp", F.lit(7)), F.col(k))
-    held = index.where("n is not null").join(blocks, ["part", "key"]).select("part", "key", F.explode(F.sequence(F.lit(0), F.col("kp") - 1)).alias("p"), place("kd").alias("d"), "_fp")
-    sent = asking.join(blocks, ["part", "key"]).select("part", "key", place("kp").alias("p"), F.explode(F.sequence(F.lit(0), F.col("kd") - 1)).alias("d"), "_fp")
+    held = index.where("n is not null").drop("n").join(blocks, ["part", "key"]).select("part", "key", F.explode(F.sequence(F.lit(0), F.col("kp") - 1)).alias("p"), place("kd").alias("d"), "_fp")
+    sent = asking.drop("n").join(blocks, ["part", "key"]).select("part", "key", place("kp").alias("p"), F.explode(F.sequence(F.lit(0), F.col("kd") - 1)).alias("d"), "_fp")
     cells = held.unionByName(sent).repartition(parts_for(nodes), "part", "key", "p", "d").sortWithinPartitions("part", "key", "p", "d")
+    if scratch is not None:
+        scratch += [big, index, probes, blocks]
     return pairs.unionByName(cells.mapInArrow(_block_links(distance), "a long, b long"))
 
 
+def _by_group(prints: DataFrame, distance: int, first: Column) -> DataFrame:
+    """_fp and least (the least value of `first` in its group) of every distinct fingerprint."""
+    nodes = written(prints.groupBy("_fp").agg(F.min(first).alias("first")), "nodes")
+    scratch: list[DataFrame] = []
+    roots = components(links(nodes, distance, scratch)).withColumnRenamed("node", "_fp")
+    discard(*scratch)
+    grouped = written(nodes.join(roots, "_fp", "left").select("_fp", "first", F.coalesce("root", "_fp").alias("root")), "grouped")
+    return grouped.join(grouped.groupBy("root").agg(F.min("first").alias("least")), "root").select("_fp", "root", "least")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 3) -> DataFrame:
     """The group of every document.
 
     Returns the id column, fingerprint (16 hex digits) and component_id, the
     smallest id that links reach. Null and empty texts and texts of white space
     have fingerprint zero and form a group with all others that link to it.
-    Repeated rows are rows of one group. Null ids never name a group unless it has
-    no other id; then component_id is null. An empty table gives an empty one;
-    other columns are not looked at.
+    Repeated rows are rows of one group, and rows of one id with other texts are
+    rows of the groups that their texts have. Null ids never name a group unless
+    it has no other id; then component_id is null. An empty table gives an empty
+    one; other columns are not looked at.
     """
     prints = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = written(prints.groupBy("_fp").agg(F.min("_id").alias("first")), "nodes")
-    roots = components(links(nodes, distance)).withColumnRenamed("node", "_fp")
-    grouped = nodes.join(roots, "_fp", "left").select("_fp", "first", F.coalesce("root", "_fp").alias("root"))
-    grouped = written(grouped, "grouped")
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(least, "root").select("_fp", "component_id")
+    named = _by_group(prints, distance, F.col("_id")).select("_fp", F.col("least").alias("component_id"))
     out = prints.join(named, "_fp")
     return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 3) -> DataFrame:
-    """docs with one row of each group, that of its smallest id; rows with a null id all stay."""
-    first = near_duplicates(docs, id_col, text_col, size, distance).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return known.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each group: that of the least id, null ids last, and of the least text hash of one id.
+
+    All columns stay, in their order. Rows are told apart by id and text, so one id
+    may stay with several texts of different groups; of rows alike in both (repeated
+    rows) one stays. An empty table gives an empty one.
+    """
+    key, mark, kept = "_simhash_id", "_simhash_mark", "_simhash_row"
+    prints = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_mark").alias("mark"))
+    first = _by_group(prints, distance, order).where("_fp = root").select("least.*")
+    # Repeated rows become one before the shuffle that the join needs anyway.
+    own = docs.select(F.col(id_col).alias(key), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(mark), F.struct(*map(F.col, docs.columns)).alias(kept))
+    own = own.groupBy(key, mark).agg(F.first(kept).alias(kept))
+    both = own.join(first, own[key].eqNullSafe(first["id"]) & (own[mark] == first["mark"]), "left_semi")
+    return both.select(f"{kept}.*")

@@ -112,7 +112,8 @@ def test_messy_rows(spark):
     kept = S.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     ids = sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None)
-    assert ids == sorted(set(least.values()))
+    # One row for each group; id 9 has two texts of two groups.
+    assert ids == sorted(least.values()) and kept.count() == len({groups[p] for p in prints.values()})
     assert S.near_duplicates(messy.empty(spark)).count() == 0
     assert S.drop_near_duplicates(messy.empty(spark)).count() == 0
 
@@ -121,3 +122,14 @@ def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(None, 3), (5, 5), (1000, 1001)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
     assert len(got) == 303 and len({got[k] for k in range(301)}) == 1 and got[1000] == got[1001] != got[0]
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = "one two three four five six seven", "completely different words stand in this other line"
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (5, b), (None, a), (None, "alone here"), (None, "alone here")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in S.drop_near_duplicates(docs).collect()) == [(0, "alone here"), (3, a), (5, b)]
+
+
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, 2, 3, 4, "x"), (2, "a b c", 5, 6, 7, 8, "y")], "doc_id long, text string, _fp long, root long, least long, _mark long, id string")
+    assert [r.asDict() for r in S.drop_near_duplicates(docs).collect()] == [docs.first().asDict()]
