@@ -22,16 +22,19 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandweave.llm.words import mixed
+from strandweave.llm.words import mixed, sliced
+from strandweave.session import discard, written
 
 ORDER = 4
-#: The documented bound of the fit: so many texts of each language, those of the
-#: least hash of their content, are counted, and as many again calibrate.
+#: The documented bound of the fit: so many distinct texts of each language, those of
+#: the least hash of their content, are counted, and as many again calibrate.
 SAMPLE = 400
 KEPT_BITS = 18
 UNDECIDED = "und"
@@ -40,6 +43,7 @@ _BLANK = regex.compile(r"[^\p{L}]+")
 
 
 def _normalised(text: str) -> str:
+    """One text as _clean_points has it, apart from a blank at the end."""
     return " " + _BLANK.sub(" ", text.lower()).strip() + " "
 
 
@@ -55,6 +59,8 @@ def _letters() -> np.ndarray:
 
 def _clean_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all normalised texts, how many each has, and how many of them are letters."""
+    if not texts:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     low = [f" {t.lower()} " for t in texts]
     sizes = np.array([len(t) for t in low])
     points = np.frombuffer("".join(low).encode("utf-32-le", "replace"), dtype="<u4")
@@ -203,102 +209,157 @@ class Model:
         return out
 
 
+@dataclass
+class Grams:
+    """Distinct n-grams of one length in one language: hashes of each, of it without its last and without its first character, and counts."""
+
+    key: np.ndarray
+    prefix: np.ndarray
+    suffix: np.ndarray
+    count: np.ndarray
+
+
+def _counted(points: np.ndarray, sizes: np.ndarray, n: int) -> Grams:
+    """The n-grams of some normalised texts."""
+    place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.flatnonzero(place >= n - 1)
+    key, first, count = np.unique(_keys(points, n)[at] if len(at) else np.zeros(0, dtype=np.uint64), return_index=True, return_counts=True)
+    if n == 1:
+        return Grams(key, np.zeros(len(key), dtype=np.uint64), np.zeros(len(key), dtype=np.uint64), count)
+    shorter = _keys(points, n - 1)
+    return Grams(key, shorter[at[first] - 1], shorter[at[first]], count)
+
+
 def _kneser_ney(texts: list[list[str]], order: int) -> tuple[np.ndarray, list[Order]]:
-    """Interpolated Kneser-Ney tables; texts: of each language."""
-    langs = len(texts)
-    grams: list[list[dict[str, int]]] = []
-    for own in texts:
-        counts: list[dict[str, int]] = [{} for _ in range(order)]
-        text = "\0".join(_normalised(t) for t in own)
-        for n in range(1, order + 1):
-            c: dict[str, int] = {}
-            for k in range(len(text) - n + 1):
-                g = text[k : k + n]
-                c[g] = c.get(g, 0) + 1
-            counts[n - 1] = {g: v for g, v in c.items() if "\0" not in g}
-        # Lower orders count in how many contexts an n-gram occurs.
-        for n in range(order - 1, 0, -1):
-            seen: dict[str, int] = {}
-            for g in counts[n]:
-                seen[g[1:]] = seen.get(g[1:], 0) + 1
-            counts[n - 1] = {g: seen.get(g, 1) for g in counts[n - 1]}
-        grams.append(counts)
-    alphabet = {g for own in grams for g in own[0]}
-    floor = np.zeros(langs)
-    tables: list[Order] = []
-    probs: list[list[dict[str, float]]] = [[] for _ in range(langs)]
-    for n in range(1, order + 1):
-        union = sorted({g for own in grams for g in own[n - 1]})
-        log_p = np.zeros((len(union), langs))
+    """Interpolated Kneser-Ney tables of texts that are here; texts: of each language."""
+    clean = [_clean_points(own or [""]) for own in texts]
+    return _tables([[_counted(p, sizes, n) for n in range(1, order + 1)] for p, sizes, _ in clean])
+
+
+def _tables(grams: list[list[Grams]]) -> tuple[np.ndarray, list[Order]]:
+    """Interpolated Kneser-Ney tables from the n-grams of each language, shortest first."""
+    langs, order = len(grams), len(grams[0])
+    # Lower orders count in how many contexts an n-gram occurs; what only begins texts counts once.
+    kinds_of = [[np.maximum(np.bincount(np.searchsorted(own[n].key, own[n + 1].suffix), minlength=len(own[n].key)), 1) if n + 1 < order else own[n].count for n in range(order)] for own in grams]
+    spread = 1 / (len(np.unique(np.concatenate([own[0].key for own in grams]))) + 1000)  # a share for characters of no training text
+    floor, tables, lower = np.zeros(langs), [], np.zeros((0, langs))
+    for n in range(order):
+        union, first = np.unique(np.concatenate([own[n].key for own in grams]), return_index=True)
+        prefix, suffix = (np.concatenate([getattr(own[n], c) for own in grams])[first] for c in ("prefix", "suffix"))
+        p = np.zeros((len(union), langs))
         for x, own in enumerate(grams):
-            counts = own[n - 1]
-            ones, twos = sum(v == 1 for v in counts.values()), sum(v == 2 for v in counts.values())
+            counts = kinds_of[x][n].astype(np.float64)
+            ones, twos = (counts == 1).sum(), (counts == 2).sum()
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            total: dict[str, int] = {}
-            kinds: dict[str, int] = {}
-            for g, v in counts.items():
-                total[g[:-1]] = total.get(g[:-1], 0) + v
-                kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
-            back = {c: discount * kinds[c] / total[c] for c in total}
-            if n == 1:
-                spread = 1 / (len(alphabet) + 1000)  # a share for characters of no training text
-                floor[x] = np.log(back.get("", 1.0) * spread)
-                p = {g: (max(counts.get(g, 0) - discount, 0) / total[""] + back[""] * spread) if total else spread for g in union}
+            context, of = np.unique(own[n].prefix, return_inverse=True)
+            total, kinds = np.bincount(of, counts, len(context)), np.bincount(of, minlength=len(context))
+            back = discount * kinds / np.maximum(total, 1)
+            seen = np.zeros(len(union))
+            seen[np.searchsorted(union, own[n].key)] = np.maximum(counts - discount, 0)
+            if n:
+                short = lower[np.searchsorted(tables[-1].hashes, suffix), x]
+                tables[-1].log_back[np.searchsorted(tables[-1].hashes, context), x] = np.log(back)
+            else:
+                short = np.full(len(union), spread)
+                floor[x] = np.log((back[0] if len(back) else 1.0) * spread)
+            if len(context):
+                at = np.minimum(np.searchsorted(context, prefix), len(context) - 1)
+                p[:, x] = np.where(context[at] == prefix, seen / np.maximum(total[at], 1) + back[at] * short, short)
             else:
-                lower = probs[x][-1]
-                p = {}
-                for g in union:
-                    b = back.get(g[:-1])
-                    low = lower[g[1:]]
-                    p[g] = low if b is None else max(counts.get(g, 0) - discount, 0) / total[g[:-1]] + b * low
-                table = tables[-1]
-                names = np.array([_hash_of(g) for g in back], dtype=np.uint64)
-                at = table.find(names)
-                table.log_back[at[at < len(table.hashes)], x] = np.log(np.array(list(back.values())))[at < len(table.hashes)]
-            probs[x].append(p)
-            log_p[:, x] = np.log([p[g] for g in union])
-        hashes = np.array([_hash_of(g) for g in union], dtype=np.uint64)
-        by = np.argsort(hashes)
-        tables.append(Order(hashes[by], log_p[by], np.zeros((len(union), langs)), _top(hashes[by])))
+                p[:, x] = short
+        lower = p
+        tables.append(Order(union, np.log(p).astype(np.float32), np.zeros((len(union), langs), dtype=np.float32), _top(union)))
     return floor, tables
 
 
-def _hash_of(gram: str) -> np.uint64:
-    return _keys(np.array([ord(c) for c in gram], dtype=np.uint64), len(gram))[-1]
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a document is kept from the fit: crc32 of its id as text, modulo 4, is 2."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def sampled(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """The sample of the fit: lang, text, rank (from 1 in its language) and n (texts of the language in the sample).
+
+    Of each language the 2 * sample distinct texts of the least content hash; rows with
+    a null language or text don't count, and copies of a text count once.
+    """
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("u", F.pmod("h", F.lit(1 << 30)))
+    # The share of hashes that some 3 * sample distinct texts (counted within 5 %) pass, so that no task sorts all rows.
+    picked = rows.groupBy("lang").agg((F.lit(3.0 * sample) / F.approx_count_distinct("h")).alias("share"))
+    picked = written(picked, "shares")
+    likely = rows.join(picked, "lang").where(F.col("u") <= F.col("share") * float(1 << 30))
+    order = W.partitionBy("lang").orderBy("u", "h")
+    ranked = likely.select("lang", "u", "h").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * sample)
+    ranked = written(ranked.select("lang", "h", "rank", F.count("*").over(W.partitionBy("lang")).alias("n")), "ranks")
+    once = likely.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    return written(once.join(ranked, ["lang", "h"]).select("lang", "text", "rank", "n"), "sample")
+
+
+GRAMS = "lang int, n int, key long, prefix long, suffix long, c long"
+
+
+def _count(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 1 << 20):
+            of, texts = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), dtype=object)
+            for x in np.unique(of):
+                points, sizes, _ = _clean_points(texts[of == x].tolist())
+                for n in range(1, order + 1):
+                    g = _counted(points, sizes, n)
+                    size = len(g.key)
+                    yield pa.record_batch([pa.array(np.full(size, x, dtype=np.int32)), pa.array(np.full(size, n, dtype=np.int32)), *(pa.array(c.view(np.int64)) for c in (g.key, g.prefix, g.suffix)), pa.array(g.count)], names=["lang", "n", "key", "prefix", "suffix", "c"])
+
+    return run
+
+
+def _own_entropy(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 1 << 20):
+            of = batch.column(0).to_numpy()
+            cross, letters = model.entropies(batch.column(1).to_pylist())
+            some = letters > 0
+            yield pa.record_batch([pa.array(of[some]), pa.array(cross[np.arange(len(of)), of][some])], names=["lang", "cross"])
+
+    return run
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample: int = SAMPLE) -> Model:
-    """Fit the models on labelled texts.
+    """Fit the models on the sample of the labelled texts (sampled()).
 
-    Rows with a null language or text don't count. The sample is the 2 * sample
-    texts of the least content hash of each language, each of them whole; even
-    ranks are counted, odd ranks calibrate.
+    Odd ranks are counted, each text whole, even ranks calibrate; a language of one
+    text uses it for both. Executors count; the driver gets the distinct n-grams of the
+    sample and one number for each text that calibrates. The model's table is dense,
+    n-grams of the sample times languages, 8 bytes each.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
-    # Distinct texts, within some 5 %: copies don't count against the sample.
-    picked = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
-    langs = sorted(r["lang"] for r in picked)
+    texts = sampled(labelled, text_col, lang_col, sample)
+    langs = sorted(r["lang"] for r in texts.select("lang").distinct().collect())
     if not langs:
         return Model([], np.zeros(0), [], np.zeros(0))
-    # The hash limit that about 3 * sample texts of a language pass; no sort of all rows.
-    limits = {r["lang"]: min(1.0, 3.0 * sample / max(r["n"], 1)) for r in picked}
-    share = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
-    chosen = rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) <= share[F.col("lang")] * float(1 << 30))
-    got = sorted((r["lang"], r["h"], r["text"]) for r in chosen.dropDuplicates(["lang", "h"]).collect())
-    texts: list[list[str]] = [[t for g, _, t in got if g == lang][: 2 * sample] for lang in langs]
-    floor, tables = _kneser_ney([[t for k, t in enumerate(x) if k % 2 == 0] for x in texts], order)
-    model = Model(langs, floor, tables, np.zeros(len(langs)))
-    for x, own in enumerate(texts):
-        cross, letters = model.entropies([t for k, t in enumerate(own) if k % 2 or len(own) == 1] or own)
-        right = cross[letters > 0][:, x] if (letters > 0).any() else np.zeros(1)
-        middle = float(np.median(right))
-        model.limits[x] = middle + max(1.2, 8 * float(np.median(np.abs(right - middle))))
+    numbered = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+    rows = texts.select(numbered.alias("x"), "text", "rank", "n")
+    counts = rows.where("rank % 2 = 1").select("x", "text").mapInArrow(_count(order), GRAMS)
+    summed = counts.groupBy("lang", "n", "key").agg(F.min("prefix").alias("prefix"), F.min("suffix").alias("suffix"), F.sum("c").alias("c")).toArrow()
+    of, size = (summed.column(c).to_numpy() for c in ("lang", "n"))
+    key, prefix, suffix = (summed.column(c).to_numpy().view(np.uint64) for c in ("key", "prefix", "suffix"))
+    count = summed.column("c").to_numpy()
+    grams = []
+    for x in range(len(langs)):
+        grams.append([])
+        for n in range(1, order + 1):
+            at = np.flatnonzero((of == x) & (size == n))
+            at = at[np.argsort(key[at])]
+            grams[-1].append(Grams(key[at], prefix[at], suffix[at], count[at]))
+    floor, tables = _tables(grams)
+    model = Model(langs, floor, tables, np.full(len(langs), np.inf))
+    right: list[list[float]] = [[] for _ in langs]
+    for x, cross in rows.where("rank % 2 = 0 or n = 1").select("x", "text").mapInArrow(_own_entropy(model), "lang int, cross double").collect():
+        right[x].append(cross)
+    for x, own in enumerate(right):
+        if own:
+            middle = float(np.median(own))
+            model.limits[x] = middle + max(1.2, 8 * float(np.median(np.abs(np.array(own) - middle))))
+    discard(texts)
     return model
 
 
@@ -319,18 +380,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Returns the id column, held_out, lang_pred, score (0 to 1) and rejected. A
     null or empty text, or one without a letter, is `und` with score 0. Null ids
     are not held out. Ties between languages go to the first by name; repeated
-    rows get the same values. Without a labelled text every prediction is `und`.
+    rows get the same values. Without a labelled text every prediction is `und`,
+    the score 0, and nothing is rejected, as nothing is known. An empty table gives
+    an empty one; other columns are not looked at.
     """
     model = fit(docs.where(~held_out(id_col)), text_col, lang_col)
     if not model.languages:
-        return docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.lit(UNDECIDED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+        return docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.lit(UNDECIDED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected"))
     found = docs.select(F.col(id_col).alias("_id"), held_out(id_col).alias("_held"), predictor(model)(F.col(text_col)).alias("_p"))
     return found.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), "_p.lang_pred", "_p.score", "_p.rejected")
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the texts that identify() rejects; all columns stay."""
+    """docs without the texts that identify() rejects; all columns stay. Without a labelled text all rows stay."""
     model = fit(docs.where(~held_out(id_col)), text_col, lang_col)
     if not model.languages:
-        return docs.where(F.lit(False))
+        return docs
     return docs.where(~predictor(model)(F.col(text_col))["rejected"])
