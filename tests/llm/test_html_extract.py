@@ -1,3 +1,10 @@
+import glob
+import html
+import os
+import random
+import re
+import time
+
 import messy
 import pytest
 
@@ -67,3 +74,115 @@ def test_names_that_leave_no_text_out():
         assert main_text(f"<body><div {attrs}><p>{b}</p></div><article><p>{a}</p><div {attrs}><p>{b}</p></div></article></body>") == a, attrs
     thread = f"<div class='comments'><article><p>{a}</p></article></div>"
     assert main_text(f"<body><article><p>{a}</p></article>{thread}</body>") == a
+
+
+MORE = f"{LONG} {LONG}"
+
+
+def test_links_in_an_article_are_menus():
+    page = f"<article><p>{MORE}</p><a class=btn href=/b>Buy now</a><p>{LONG} <a href=/x>with a link</a></p><ul><li><a>One</a><li><a>Two</a></ul><div class=pager><a>Next</a> / <a>Prev</a></div></article>"
+    assert main_text(page).split("\n\n") == [MORE, f"{LONG} with a link"]
+    # Not so for lists with words of their own, and headings.
+    page = f"<article><h2><a href=#a>Head</a></h2><p>{MORE}</p><ul><li><a>One</a> is first<li><a>Two</a></ul></article>"
+    assert main_text(page).split("\n\n") == ["Head", MORE, "One is first", "Two"]
+
+
+def test_the_threshold_decides():
+    clutter = [f"<div class=x{k}>Call us {k}</div>" for k in range(4)]
+    plain = f"<body>{clutter[0]}{clutter[1]}<div class=text><p>{MORE * 3}</p><p>Ok</p><p>{MORE * 4}</p></div>{clutter[2]}{clutter[3]}</body>"
+    want = [MORE * 3, "Ok", MORE * 4]
+    assert main_text(plain).split("\n\n") == want
+    off = main_text(plain, 0, 0).split("\n\n")
+    assert off == ["Call us 0", "Call us 1", *want, "Call us 2", "Call us 3"]
+    linked = f"<article><p>{MORE}</p><p class=more><a>All the posts of this page</a></p></article>"
+    assert main_text(linked) == MORE and main_text(linked, 0, 0) != MORE
+
+
+def test_names_of_other_things_lose_no_text():
+    inside = [f'<section id="{i}"><p>{LONG} {i}</p></section>' for i in ("related-work", "search-engines", "legal-basis")]
+    page = f"<article>{''.join(inside)}<div class=legal>{LONG}</div><p data-x='hidden'>a</p><p data-id='menu'>b</p></article>"
+    assert main_text(page).split("\n\n") == [*(f"{LONG} {i}" for i in ("related-work", "search-engines", "legal-basis")), LONG, "a", "b"]
+    assert main_text(f"<body><div class=legal><p>{LONG}</p></div></body>") == LONG
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["x <a " * 200_000, "<div>a" * 60_000, "<p>" + "<b>" * 40_000 + "<hr>" * 40_000, "<i>" * 40_000 + "</x>" * 40_000, '<a b="' * 100_000, "<svg>x" * 60_000, "<!--" * 100_000, "<" * 1_000_000, "&#" + "9" * 100_000 + ";&#" + "0" * 9000 + "65;", "<table>" + "<tr><td>x" * 30_000, "<a " + "x= " * 200_000 + ">", '<div class="' + "ad " * 200_000 + '">', "<a b='x>\"" * 80_000],
+    ids=lambda p: p[:12],
+)
+def test_hostile_pages_take_seconds(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 15
+
+
+def test_numbers_beyond_all_code_points():
+    assert main_text("<p>a &#" + "9" * 5000 + "; b &#" + "0" * 5000 + "65; &#x1F600;</p>") == "a \ufffd b A \U0001f600"
+
+
+def made_page(rnd):
+    """A page whose main text is known: (html, blocks)."""
+    def words(n):
+        return " ".join(rnd.choice(messy.WORDS) for _ in range(n)) + "."
+
+    def inline(text):
+        parts = text.split(" ")
+        k = rnd.randrange(len(parts))
+        tag = rnd.choice(("b", "i", "em", "span", "code", "a href='/x?id=ad'"))
+        parts[k] = f"<{tag}>{parts[k]}</{tag.split()[0]}>" if len(parts) > 3 else parts[k]
+        return rnd.choice((" ", "\n", "  \t")).join(parts)
+
+    blocks, body = [], []
+
+    def put(tag, text, close=True):
+        blocks.append(" ".join(html.unescape(text).split()))
+        body.append(f"<{tag}>{inline(text)}" + (f"</{tag.split()[0]}>" if close else ""))
+
+    clutter = ["<nav><a>Home</a> <a>About us</a></nav>", "<div class=ad>Buy this, now. It is good, really.</div>", "<aside>More to read, here.</aside>", "<form>Name <input></form>", "<div role=navigation>Up, down.</div>", "<section class='comments'><p>" + words(40) + "</p></section>", "<script>if (a < b) x('<p>');</script>", "<style>p{}</style>", "<!-- <p>no</p> -->", "<div id='cookie-notice'>We use cookies, as you know.</div>", "<div hidden>Not seen.</div>"]
+    wrapped = rnd.random() < 0.5
+    for _ in range(rnd.randint(2, 4)):
+        opened = rnd.choice(("section", "div"))
+        body.append(f"<{opened} class=part>")
+        put("h2", words(3))
+        for _ in range(rnd.randint(1, 4)):
+            kind = rnd.random()
+            if kind < 0.6:
+                put("p", words(rnd.randint(20, 60)) + " &amp; &eacute;", rnd.random() < 0.7)
+            elif kind < 0.7:
+                body.append("<ul>")
+                for _ in range(3):
+                    put("li", words(rnd.randint(1, 6)), rnd.random() < 0.5)
+                body.append("</ul>")
+            elif kind < 0.8:
+                put("blockquote", words(25))
+            else:
+                put("p", words(2))
+            if rnd.random() < 0.3:
+                body.append(rnd.choice(clutter))
+        body.append(f"</{opened}>")
+    start, end = ("<article>", "</article>") if wrapped else ("<div id=text>", "</div>")
+    around = [rnd.choice(clutter) for _ in range(4)]
+    return f"<html><head><title>T</title></head><body><header>Site name</header>{around[0]}{around[1]}{start}{''.join(body)}{end}{around[2]}{around[3]}<footer>Foot.</footer></body></html>", blocks
+
+
+def test_made_pages_give_back_their_text():
+    rnd = random.Random(7)
+    for k in range(300):
+        page, blocks = made_page(rnd)
+        assert main_text(page).split("\n\n") == blocks, (k, page)
+
+
+def plain_extract(page):
+    """Main text of the test tables' pages: what stands between the article's tags, cut at block tags."""
+    body = re.search(r"<article>(.*?)(?:</article>|$)", page, re.S)[1]
+    blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:h1|p)>", body))
+    return "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_pages_of_the_tables():
+    import duckdb
+
+    for path in glob.glob("/root/testdata/sf0.01/pages.parquet"):
+        for (page,) in duckdb.sql(f"SELECT html FROM '{path}'").fetchall():
+            assert main_text(page) == plain_extract(page)
