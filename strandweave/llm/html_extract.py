@@ -159,7 +159,12 @@ class _Reader:
     def _tag_end(self, pos: int) -> int:
         """Where the tag ends whose attributes start at pos; -1 if nowhere."""
         page, at = self.page, pos
-        while not self.broken:
+        end = page.find(">", pos) + 1
+        if not end or self.broken:
+            return end or -1
+        if page.find('"', pos, end) < 0 and page.find("'", pos, end) < 0:
+            return end
+        while True:
             found = _STOP.search(page, at)
             if found is None:
                 break
@@ -173,7 +178,7 @@ class _Reader:
                     break
                 at = close + 1
         self.broken = True
-        return page.find(">", pos) + 1 or -1
+        return end
 
     def _close(self, to: _Element) -> None:
         """Close `to` and all that is open in it."""
@@ -311,10 +316,10 @@ def _homes(elements: list[_Element], total: int) -> set[_Element]:
     while home.parent and home.tag not in SECTIONS and "-" not in home.tag:
         home = home.parent
     # Sections beside it that begin with a heading of its level are the same text's.
-    children: dict[_Element, list[_Element]] = defaultdict(list)
-    for e in elements:
-        children[e.parent].append(e)
     level = home.first.tag if home.first and home.first.head else None
+    children: dict[_Element | None, list[_Element]] = defaultdict(list)
+    for e in elements if level else ():
+        children[e.parent].append(e)
     while level and home.parent and home.parent.tag not in ("html", "body") and any(e.first and e.first.tag == level for e in children[home.parent] if e is not home):
         home = home.parent
     return {home}
