@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What divides words in a capture's name.
 TITLE_SEPARATORS = " -_.·"
 
 

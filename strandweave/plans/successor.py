@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.operators.matching import majority
+from strandweave.session import written
 
 EDGE = 12
 
@@ -19,8 +20,11 @@ def choose(candidates: DataFrame, edge: int = EDGE) -> DataFrame:
     common among the clean, or among all if none is clean. Of the candidates that
     have it the choice is by (bad, near an edge, another capture, shorter clean run,
     order). As a bad candidate is never better than a clean one of its hash, this
-    needs no separate cut.
+    needs no separate cut. Candidates are written unless they are already, as every
+    count below reads them.
     """
+    if not hasattr(candidates, "_strandweave_path"):
+        candidates = written(candidates, "candidates")
     x = candidates.withColumn("near_edge", F.least(F.col("cj"), F.col("n") - 1 - F.col("cj")) < edge)
     inner = x.where("not bad and not near_edge")
     inner_top = majority(inner, ["t", "j"]).select("t", "j", F.col("h").alias("mh"), F.col("n").alias("mn"))

@@ -206,3 +206,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([str(tmp_path / "e")], spark) == 2
     with pytest.raises(SystemExit):
         cli.main(["--index-dir", "x", "--no-index", "y"], spark)
+
+
+def test_progress_is_told(spark):
+    import time
+
+    from strandweave.progress import watched
+
+    seen = []
+    with watched(spark, lambda done, total: seen.append((done, total)), 0.05):
+        spark.range(8).repartition(8).rdd.foreach(lambda _: time.sleep(0.3))
+    assert seen and all(0 <= a <= b for a, b in seen)
