@@ -20,9 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandweave.llm.words import SPACE, Texts, _byte_powers, mixed, span_hashes, texts_of
 from strandweave.session import parts_for
@@ -182,14 +182,15 @@ def _compare(cells: int, batch_chars: int = 1 << 20):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows, size, guest = None, [], 0, False
+        own, rows, size, guest = None, [], 0, False
         for batch in batches:
-            for own, is_guest, key, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if own != bucket:
+            for place, is_guest, key, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if place != own:
                     if rows:
                         yield finish(rows, None)
-                    bucket, rows, size, guest = own, [], 0, False
+                    own, rows, size, guest = place, [], 0, False
                 if is_guest:
+                    # What follows the last row of the range; it comes last, maybe from several tasks.
                     if not guest and rows:
                         yield finish(rows, text)
                         rows = []
@@ -206,47 +207,119 @@ def _compare(cells: int, batch_chars: int = 1 << 20):
     return run
 
 
+MOST_RANGES = 1 << 17  # their bounds, 17 bytes each, travel with the code: 2.2 MB at most
+SAMPLED = 16  # rows for each bound
+
+
+def _order(id_col: str, mark: str) -> tuple[Column, Column, Column]:
+    """Ascending in these three: descending id, null last, then the text's hash."""
+    return F.col(id_col).isNull(), F.coalesce(F.bitwise_not(F.col(id_col)), F.lit(0)), F.col(mark)
+
+
+class Ranges:
+    """Bounds of ranges of rows in the order of _order; a bound is the first row of its range.
+
+    A row that is its own bound several times over (copies of one row are a large share of
+    all) has several ranges in which nothing but copies stand, and a last one where other
+    rows follow. Copies are dealt to these in turn, the first of each task to the last
+    range, so that the last copy is followed by what follows them.
+    """
+
+    def __init__(self, none: np.ndarray, down: np.ndarray, mark: np.ndarray):
+        by = np.lexsort((mark, down, none))
+        self.none, self.down, self.mark = none[by], down[by], mark[by]
+
+    def __len__(self) -> int:
+        return len(self.none)
+
+    def _span(self, down: np.ndarray, none: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last + 1 bound with the id of each row."""
+        known = int(np.searchsorted(self.none, True))
+        left = np.where(none, known, np.searchsorted(self.down[:known], down))
+        right = np.where(none, len(self.none), np.searchsorted(self.down[:known], down, side="right"))
+        return left, right
+
+    def deal(self, down: np.ndarray, none: np.ndarray, mark: np.ndarray, seen: dict[int, int], salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, range, is guest) of every row and of the first rows of ranges, which are guests in the range before.
+
+        seen: how many copies of each many-fold bound the task has dealt.
+        """
+        left, right = self._span(down, none)
+        home = left - 1
+        guests: list[tuple[int, int]] = []
+        for k in np.flatnonzero(left < right):
+            own = self.mark[left[k] : right[k]]
+            a, b = left[k] + int(np.searchsorted(own, mark[k])), left[k] + int(np.searchsorted(own, mark[k], side="right"))
+            home[k] = b - 1
+            if a < b:
+                n = seen.get(a, 0)
+                seen[a] = n + 1
+                if not n:
+                    guests.append((k, (a - 1) % len(self)))
+                elif b - a > 1:
+                    home[k] = a + (n + salt) % (b - a)
+        row = np.concatenate([np.arange(len(down)), np.array([k for k, _ in guests], dtype=np.int64)])
+        place = np.concatenate([home, np.array([r for _, r in guests], dtype=np.int64)])
+        return row, place, np.arange(len(row)) >= len(down)
+
+
+def _bounds(rows: DataFrame, ranges: int) -> Ranges:
+    """About as many ranges of equal size, from a sample of the rows; the first row of all is a bound."""
+    keys = rows.select(*(c.alias(n) for n, c in zip(("none", "down", "mark"), _order("_id", "_mark"), strict=True)))
+    first = keys.agg(F.min(F.struct("none", "down", "mark")).alias("x"), F.count("*").alias("n")).first()
+    if not first["n"]:
+        return Ranges(np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    step = SAMPLED
+    share = min(1.0, step * ranges / first["n"])
+    some = (keys.sample(share, 7) if share < 1 else keys).orderBy("none", "down", "mark")
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = step // 2
+        for batch in batches:
+            yield batch.take(pa.array(range(at, batch.num_rows, step), pa.int64()))
+            at = (at - batch.num_rows) % step
+
+    got = some.mapInArrow(every, "none boolean, down long, mark long").toArrow() if share < 1 or first["n"] > step else None
+    columns = [first["x"][c] for c in ("none", "down", "mark")]
+    merged = [np.array([x, *([] if got is None else got.column(k).to_pylist())]) for k, x in enumerate(columns)]
+    return Ranges(merged[0].astype(bool), merged[1].astype(np.int64), merged[2].astype(np.int64))
+
+
+def _homes(ranges: Ranges):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        salt, seen = context.partitionId() if context else 0, {}
+        for batch in batches:
+            ids = batch.column(0)
+            none = ids.is_null().to_numpy(zero_copy_only=False)
+            down = np.where(none, 0, ~ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            row, place, guest = ranges.deal(down, none, batch.column(2).to_numpy(), seen, salt)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(guest), ids.take(take), batch.column(1).take(take), batch.column(2).take(take)], names=["_own", "_guest", "_id", "text", "_mark"])
+
+    return run
+
+
 def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """Fingerprint every text, its edited text, and how like they and the next text are.
 
     The edited text is the text with its last third (of its code points) replaced
     by the first as many of the next document, in descending order of id; after
-    the last document comes the first. Returns the id column, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
-    Null texts are empty; two texts without a word are alike (1). Rows with equal
-    ids follow each other by their text; rows with a null id come last. A single
-    row follows itself; an empty table gives an empty one; other columns are not
-    looked at.
-
-    The order needs no global sort: quantiles of the ids cut them into ranges, and
-    the first row of each range is also sent, as a guest, to the range before it.
+    the last document comes the first. Returns the id column (whole numbers),
+    n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
+    near_next. Null texts are empty; two texts without a word are alike (1). Rows
+    with equal ids follow each other by the hash of their text; rows with a null id
+    come last; repeated rows follow each other. A single row follows itself; an
+    empty table gives an empty one; other columns are not looked at.
+
+    The order needs no global sort: rows go to ranges between bounds that a sample
+    gives, each range to a task of its own, and the first row of a range also, as a
+    guest, to the range before it. There are at most MOST_RANGES; a task reads its
+    range as a stream, so that larger ranges only take longer.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = parts_for(docs, 16 << 20)
-    quantiles = F.percentile_approx("_id", F.array(*[F.lit(k / ranges) for k in range(1, ranges + 1)]), 100 * ranges)
-    found = rows.agg(quantiles.alias("q"), F.count(F.when(F.col("_id").isNull(), 1)).alias("nulls"), F.max("_id").alias("most")).first()
-    # Each bound is an id of the table: the first row, in descending order, of its range.
-    bounds = sorted({*(found["q"] or []), *([found["most"]] if found["most"] is not None else [])}, reverse=True)
-    firsts = bounds + ([None] if found["nulls"] else [])
-    kind = T.StructType([T.StructField("_own", T.IntegerType()), T.StructField("_guest", T.BooleanType())])
-
-    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up = np.array(bounds[::-1], dtype=np.int64)
-        for batch in batches:
-            own, guest, take = [], [], []
-            for k, x in enumerate(batch.column(0).to_pylist()):
-                r = len(bounds) if x is None else len(up) - 1 - int(np.searchsorted(up, x))
-                own.append(r)
-                guest.append(False)
-                take.append(k)
-                if firsts[r] == x:
-                    own.append((r - 1) % len(firsts))
-                    guest.append(True)
-                    take.append(k)
-            picked = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(guest, pa.bool_()), batch.column(0).take(picked), batch.column(1).take(picked)], names=["_own", "_guest", "_id", "text"])
-
-    schema = T.StructType([*kind.fields, *rows.schema.fields])
-    dealt = rows.mapInArrow(homes, schema).repartition(max(len(firsts), 1), "_own").sortWithinPartitions("_own", "_guest", F.desc_nulls_last("_id"), "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("_mark", F.xxhash64("text"))
+    ranges = _bounds(rows.select("_id", "_mark"), min(parts_for(docs, 16 << 20), MOST_RANGES))
+    schema = "_own int, _guest boolean, _id long, text string, _mark long"
+    dealt = rows.mapInArrow(_homes(ranges), schema).repartitionById(max(len(ranges), 1), "_own").sortWithinPartitions("_own", "_guest", F.desc_nulls_last("_id"), "_mark", "text")
     out = dealt.mapInArrow(_compare(cells), "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("_id", id_col)
