@@ -13,6 +13,12 @@ The plan moves each window once, as a few bytes:
 3. Each slice turns window starts into covered words, one row per document.
 4. A join by document gives the words that stay.
 
+Where the first step's buckets would be larger than RANGE_BYTES, a step between the
+first two deals them out again: tasks that hold a bucket's windows of some slices
+tell at once what is repeated among these, and send one of each hash on to a finer
+bucket. So a task holds about one RANGE_BYTES at a time, whatever the input, and a
+passage that a third of the rows share goes on once from each such chunk.
+
 The hash width follows the input's size, so that the expected number of false
 matches stays under 1 %.
 """
@@ -34,7 +40,14 @@ from strandweave.llm.words import Texts, sliced, texts_of
 from strandweave.session import input_bytes, parts_for
 
 SLICE_BYTES = 4 << 20
-PIECES = "bucket int, slice long, n int, hashes binary, places binary"
+RANGE_BYTES = 16 << 20  # of packed windows in a bucket
+WINDOW_BYTES = 2.2  # packed windows to a byte of the input, as measured
+CHUNK = 1_500_000  # windows that are dealt out again at a time
+#: One row of pieces: n > 0, windows of one slice (owners is null) or of the slices in owners; n < 0, a slice's
+#: table of -n documents (in hashes); n = 0, places (in hashes) that the slice is told.
+PIECES = "bucket int, slice long, n int, hashes binary, places binary, owners binary"
+_PIECES = [x.split()[0] for x in PIECES.split(", ")]
+_PIECE_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 FOUND = "slice long, kind int, body binary"
 
 
@@ -46,6 +59,12 @@ def _widths(total: int | None) -> tuple[int, int]:
     return buckets, min(16, max(7, math.ceil((bits - math.log2(buckets)) / 8)))
 
 
+def _finer(total: int, buckets: int) -> tuple[int, int]:
+    """Bits by which buckets are divided again (0: large enough as they are), and groups of slices of a bucket on the way."""
+    each = total * WINDOW_BYTES / buckets
+    return max(0, math.ceil(math.log2(max(each, 1) / RANGE_BYTES))), max(1, math.ceil(each / (8 * RANGE_BYTES)))
+
+
 def _rest(high: np.ndarray, low: np.ndarray, taken: int, width: int) -> np.ndarray:
     """The 128 bits of both hashes without the first `taken` ones, cut to `width` bytes."""
     out = np.empty((len(high), 2), dtype=">u8")
@@ -105,38 +124,99 @@ def _hash_windows(size: int, buckets: int, width: int):
                     pa.array([r[1] for r in rows], pa.int32()),
                     pa.array([r[2] for r in rows], pa.binary()),
                     pa.array([r[3] for r in rows], pa.binary()),
+                    pa.nulls(len(rows), pa.binary()),
                 ],
-                names=["bucket", "slice", "n", "hashes", "places"],
+                names=_PIECES,
             )
 
     return run
 
 
-def _repeats(width: int, group: list[tuple[int, int, bytes, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-    """For one bucket: what each slice must learn."""
-    if not group:
-        return
-    counts = np.array([g[1] for g in group])
-    keys = np.zeros((int(counts.sum()), 16), dtype=np.uint8)
+Piece = tuple[int, int, bytes, bytes, bytes | None]  # slice, n, hashes, places, owners
+
+
+def _unpacked_pieces(width: int, group: list[Piece]) -> tuple[np.ndarray, ...]:
+    """Of all windows of some pieces, ordered by hash: both halves of the hash, slice, place, known as repeated, and run of equal hashes."""
+    counts = [g[1] for g in group]
+    keys = np.zeros((sum(counts), 16), dtype=np.uint8)
     keys[:, :width] = np.concatenate([np.frombuffer(g[2], dtype=np.uint8).reshape(-1, width) for g in group])
-    known, places = [], []
-    for _, n, _, body in group:
+    known, places, owners = [], [], []
+    for own, n, _, body, many in group:
         w = body[0]
-        places.append(_unpacked(body[: 1 + w * n]))
+        places.append(_unpacked(body[: 1 + w * n]) if many is None else np.frombuffer(body, dtype="<u4", count=n, offset=1).astype(np.int64))
         known.append(np.unpackbits(np.frombuffer(body, dtype=np.uint8, offset=1 + w * n), count=n).astype(bool))
-    known, place, of = np.concatenate(known), np.concatenate(places), np.repeat(np.arange(len(group)), counts)
+        owners.append(np.full(n, own, dtype=np.int64) if many is None else np.frombuffer(many, dtype="<i8"))
     high, low = keys.view(">u8").astype(np.uint64).T
     order = np.lexsort((low, high)) if width > 8 else np.argsort(high, kind="stable")
     high, low = high[order], low[order]
     first = np.ones(len(order), dtype=bool)
     first[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-    run = np.cumsum(first) - 1
-    many = np.bincount(run) > 1
-    told = order[many[run] & ~known[order]]
-    told = told[np.lexsort((place[told], of[told]))]
-    cut = np.searchsorted(of[told], np.arange(len(group) + 1))
-    for g in np.flatnonzero(cut[1:] > cut[:-1]):
-        yield group[g][0], 1, _packed(place[told[cut[g] : cut[g + 1]]])
+    return high, low, np.concatenate(owners)[order], np.concatenate(places)[order], np.concatenate(known)[order], np.cumsum(first) - 1
+
+
+def _told(owners: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """What each slice must learn: its windows that are repeated."""
+    if not len(owners):
+        return
+    order = np.lexsort((places, owners))
+    owners, places = owners[order], places[order]
+    heads = np.flatnonzero(np.diff(owners, prepend=owners[0] - 1))
+    for a, b in zip(heads, [*heads[1:], len(owners)], strict=True):
+        yield int(owners[a]), _packed(places[a:b])
+
+
+def _repeats(width: int, group: list[Piece]) -> Iterator[tuple[int, int, bytes]]:
+    """For one bucket: what each slice must learn."""
+    if not group:
+        return
+    _, _, owners, places, known, run = _unpacked_pieces(width, group)
+    told = (np.bincount(run) > 1)[run] & ~known
+    for own, body in _told(owners[told], places[told]):
+        yield own, 1, body
+
+
+def _deal_again(width: int, bits: int, chunk: int):
+    """Pieces of coarse buckets to pieces of finer ones; what is repeated within a chunk is told."""
+
+    def finer(bucket: int, group: list[Piece]) -> Iterator[tuple]:
+        high, low, owners, places, known, run = _unpacked_pieces(width, group)
+        many = (np.bincount(run) > 1)[run]
+        told = many & ~known
+        for own, body in _told(owners[told], places[told]):
+            yield own & 0xFFFF, own, 0, body, b"", None
+        # One window of each hash goes on, marked if its slice knows already.
+        sent = np.flatnonzero(np.diff(run, prepend=-1))
+        known = known | many
+        fine = (high[sent] >> np.uint64(64 - bits)).astype(np.int64)
+        keys = np.stack([high[sent], low[sent]], axis=1).astype(">u8").view(np.uint8).reshape(-1, 16)[:, :width]
+        cut = np.searchsorted(fine, np.arange((1 << bits) + 1))
+        for b in np.flatnonzero(cut[1:] > cut[:-1]):
+            at = slice(cut[b], cut[b + 1])
+            own = sent[at]
+            yield bucket << bits | int(b), 0, len(own), keys[at].tobytes(), b"\4" + places[own].astype("<u4").tobytes() + np.packbits(known[own]).tobytes(), owners[own].astype("<i8").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Piece] = []
+        bucket, size, out = None, 0, []
+        for b in batches:
+            for own, *piece in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if piece[1] <= 0:
+                    out.append((own, *piece))
+                else:
+                    if held and (own != bucket or size >= chunk):
+                        out += finer(bucket, held)
+                        held, size = [], 0
+                    bucket, size = own, size + piece[1]
+                    held.append(tuple(piece))
+                if len(out) >= 256:
+                    for k in range(0, len(out), 256):
+                        yield _batch(out[k : k + 256], _PIECES, _PIECE_TYPES)
+                    out = []
+        out += finer(bucket, held) if held else []
+        for k in range(0, len(out), 256):
+            yield _batch(out[k : k + 256], _PIECES, _PIECE_TYPES)
+
+    return run
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -145,14 +225,14 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 def _count_buckets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True))
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True))
         for _, group in itertools.groupby(rows, key=lambda r: r[0]):
             windows, out = [], []
-            for _, own, n, body, places in group:
+            for _, own, n, body, places, owners in group:
                 if n <= 0:
-                    out.append((own, n, body))
+                    out.append((own, n or 1, body))
                 else:
-                    windows.append((own, n, body, places))
+                    windows.append((own, n, body, places, owners))
             out += _repeats(width, windows)
             for k in range(0, len(out), 256):
                 yield _batch(out[k : k + 256], ["slice", "kind", "body"], [pa.int64(), pa.int32(), pa.binary()])
@@ -197,9 +277,14 @@ def covered_words(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_
     texts have no words. Repeated rows give equal rows.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets, width = _widths(input_bytes(docs))
+    total = input_bytes(docs)
+    buckets, width = _widths(total)
+    bits, groups = _finer(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0 if total is None else total, buckets)
     parts = parts_for(docs, 16 << 20)
     pieces = rows.mapInArrow(_hash_windows(size, buckets, width), PIECES)
+    if bits:
+        group = F.pmod(F.col("slice"), F.lit(groups))
+        pieces = pieces.repartition(parts, F.col("bucket"), group).sortWithinPartitions("bucket", group).mapInArrow(_deal_again(width, bits, CHUNK), PIECES)
     found = pieces.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_buckets(width), FOUND)
     by_slice = found.repartition(parts, "slice").sortWithinPartitions("slice")
     return by_slice.mapInArrow(_cover(size), "_id long, _mark long, n_words long, n_removed long, gone binary")

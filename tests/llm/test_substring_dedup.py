@@ -66,3 +66,33 @@ def test_all_kept_bits_come_from_the_hashes():
     # One first hash, 4,096 second ones: 8 bytes after 12 bits of bucket tell them apart.
     first, second = np.full(4096, 7, dtype=np.uint64), np.arange(4096, dtype=np.uint64) << np.uint64(52)
     assert len(np.unique(D._rest(first, second, 12, 8), axis=0)) == 4096
+
+
+def test_buckets_divided_again(spark, monkeypatch):
+    rows = [(r[0], r[1]) for r in messy.rows()] + [(1000 + k, messy.texts()[5][: 300 + 7 * k]) for k in range(30)]
+    docs = messy.simple(spark, rows).repartition(6)
+    monkeypatch.setattr(D, "SLICE_BYTES", 500)
+    monkeypatch.setattr(D, "CHUNK", 40)
+    monkeypatch.setattr(D, "_widths", lambda total: (16, 8))
+    monkeypatch.setattr(D, "_finer", lambda total, buckets: (5, 3))
+    assert run(spark, docs, 5) == brute(rows, 5)
+
+
+def test_a_passage_of_all_rows_goes_on_once_from_a_chunk():
+    rnd = np.random.default_rng(2)
+    hot = rnd.integers(0, 256, (50, 8), dtype=np.uint8)
+    pieces = [(own, 50, hot.tobytes(), D._packed(np.arange(50)) + np.packbits(np.zeros(50, dtype=bool)).tobytes(), None) for own in range(200)]
+    batch = D._batch([(3, *p) for p in pieces], D._PIECES, D._PIECE_TYPES)
+    out = [r for b in D._deal_again(8, 4, 5000)(iter([batch])) for r in b.to_pylist()]
+    assert sum(r["n"] for r in out if r["n"] > 0) == 2 * 50  # two chunks
+    told = [r["slice"] for r in out if r["n"] == 0]
+    assert sorted(told) == list(range(200)) and all(r["bucket"] >> 4 == 3 for r in out if r["n"] > 0)
+
+
+def test_what_a_bucket_holds_does_not_grow_with_the_input():
+    for total in (1 << 30, 1 << 35, 1 << 40, 100 << 40, 1 << 50):
+        buckets, _ = D._widths(total)
+        bits, groups = D._finer(total, buckets)
+        assert total * D.WINDOW_BYTES / buckets / 2**bits <= D.RANGE_BYTES
+        assert total * D.WINDOW_BYTES / buckets / groups <= 8 * D.RANGE_BYTES and buckets << bits < 1 << 31
+    assert D._finer(1 << 30, D._widths(1 << 30)[0]) == (0, 1)
