@@ -84,3 +84,26 @@ def test_word_counts(spark):
     rows = messy.simple(spark, list(enumerate(messy.texts())))
     got = {r[0]: r[1] for r in rows.select("doc_id", M.n_words(F.col("text"))).collect()}
     assert got == {k: len(WORD.findall(t or "")) for k, t in enumerate(messy.texts())}
+
+
+def test_many_sources_meet_in_joins(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(6)
+    rows = [(k, messy.sentence(rnd, rnd.randint(0, 60)), None, rnd.choice([f"s{rnd.randrange(40)}", "hot", "hot", None]), 0, *[None] * 16) for k in range(500)]
+    docs = messy.frame(spark, rows)
+    want = sorted(map(str, M.mix(docs).collect()))
+    monkeypatch.setattr(M, "FEW", 5)
+    assert sorted(map(str, check(spark, docs))) == want
+
+
+def test_rows_alike_at_the_boundary(spark, monkeypatch):
+    monkeypatch.setattr(M, "ALIKE", 7)
+    rows = [(None, "same words here", None, "a", 0, *[None] * 16)] * 60 + [(5, "one two", None, "a", 0, *[None] * 16)] * 40 + [(k, "b c d e", None, "b", 0, *[None] * 16) for k in range(30)]
+    check(spark, messy.frame(spark, rows), again=True)
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("x", "a b c", "s"), ("y", "d e", None), (None, "f", "s")], "doc_id string, text string, source string")
+    assert sorted(str(r.doc_id) for r in M.mix(docs).collect()) == ["None", "x", "y"]
+    assert M.mix_documents(docs).columns == docs.columns and M.mix_documents(docs).count() >= 3
