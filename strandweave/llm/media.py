@@ -221,7 +221,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alone = media.where(F.size("refs") == 0).select("_id", "n_bytes", "digest", "sizes", "body", none.alias("fetched"))
     out = alone.mapInArrow(_read_rows(with_media), f"key {kind}, n_bytes long, {READ}{more}").withColumnRenamed("key", id_col)
     linked = media.where(F.size("refs") > 0)
-    held = table.where("kind = 1").groupBy("digest").agg(F.first("body").alias("chunk")).withColumnRenamed("digest", "name")
+    # Written: a chunk that very many payloads have is a key whose partition Spark can split in a join of plain shuffles.
+    held = written(table.where("kind = 1").groupBy("digest").agg(F.first("body").alias("chunk")).withColumnRenamed("digest", "name"), "chunks")
     distinct = linked.groupBy("digest").agg(F.first("sizes").alias("sizes"), F.first("refs").alias("refs"), F.first("body").alias("body"))
     wanted = linked.select("digest", "refs").dropDuplicates(["digest"]).select("digest", F.posexplode("refs").alias("k", "name"))
     brought = wanted.join(held, "name").groupBy("digest").agg(F.collect_list(F.struct("k", F.col("chunk").alias("body"))).alias("fetched"))
