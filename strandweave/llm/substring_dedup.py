@@ -307,8 +307,8 @@ def drop_repeats(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_c
 
     Returns the id column, n_words, n_removed, kept (if with_text: the words that
     stay, joined by one space) and kept_sha256. Null and empty texts, and texts of
-    fewer than `size` words, lose nothing; a null text counts as empty; a null id
-    stays null. Repeated rows, with one id or several, are repeats of each other.
+    fewer than `size` words, lose nothing; a null text counts as empty; ids are whole
+    numbers, a null id stays null. Repeated rows, with one id or several, are repeats of each other.
     An empty table gives an empty table. Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("_own"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
