@@ -2,8 +2,9 @@
 
 A line is its sequence of words. An occurrence goes if the corpus has an earlier
 one (by document id, then line) of the same line, or of a line within one word
-edit (insertion, deletion or substitution). Lines of fewer than `least` words
-are compared exactly: one edit in so few words is no near copy.
+edit (insertion, deletion or substitution) that leaves at least SIMILARITY of its
+words. One rule for all lines: where a line is so short that an edit leaves less,
+there is no edit that it may have, and an equal line alone goes.
 
 Every line emits the hash of each of its one-word deletions: with the position
 and the length, which lines that differ in that word alone share; and without,
@@ -20,6 +21,7 @@ tells the scan which lines take part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +34,10 @@ from pyspark.sql import types as T
 
 from strandweave.llm import bloom
 from strandweave.llm.words import WORD_BASES, Texts, Words, _word_powers, mixed, sliced, span_hashes, texts_of
-from strandweave.session import written
+from strandweave.session import discard, written
 
-LEAST = 5
+SIMILARITY = 0.8
+LEAST = math.ceil(round(1 / (1 - SIMILARITY), 9))  # words of the shortest line of which one edit leaves that
 _LAST = (1 << 63) - 1
 
 
@@ -197,13 +200,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # What is shuffled for every variant is its key and the line's id (62 bits of its hash, and the role); few keys
     # come twice, and only for those the lines are looked up.
     variants = part.select("hi", "words").mapInArrow(_variants, VARIANTS)
-    again = variants.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+    # Written, as a very common key must not meet its count, or the lines that it may join, in one task's partition.
+    again = written(variants.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v"), "again")
     met = variants.join(again, "v").select("v", F.col("id").bitwiseAND(3).cast("int").alias("role"), F.shiftright("id", 2).alias("key"))
     named = part.select(F.shiftright(F.shiftleft("hi", 2), 2).alias("key"), "hi", "lo", "doc", "mark", "line")
-    met = written(met.join(named, "key").drop("key"), "variants")
+    met = met_table = written(met.join(named, "key").drop("key"), "variants")
     line = F.struct("doc", "mark", "line", "hi", "lo")
     pick = lambda role: F.min(F.when(F.col("role") == role, line))
-    keyed = met.groupBy("v").agg(pick(SAME).alias("same"), pick(MORE).alias("more"), pick(BASE).alias("base"))
+    keyed = written(met.groupBy("v").agg(pick(SAME).alias("same"), pick(MORE).alias("more"), pick(BASE).alias("base")), "keyed")
     met = met.join(keyed, "v").withColumn("to", F.when(F.col("role") == SAME, F.col("same")).when(F.col("role") == MORE, F.col("base")).otherwise(F.col("more")))
     own = F.struct("doc", "mark", "line")
     pairs = met.where(F.col("to").isNotNull() & (F.struct("to.doc", "to.mark", "to.line") < own)).select("hi", "lo", F.col("to.hi").alias("to_hi"), F.col("to.lo").alias("to_lo")).distinct()
@@ -211,13 +215,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     theirs = texts.select(F.col("hi").alias("to_hi"), F.col("lo").alias("to_lo"), F.col("words").alias("to_words"))
     near = pairs.join(texts, ["hi", "lo"]).join(theirs, ["to_hi", "to_lo"]).where(_verified("words", "to_words")).select("hi", "lo").distinct()
     near = written(near, "near")
+    discard(shared, part, again, met_table, keyed)
     every = near.select("hi", "lo", F.lit(True).alias("all"), F.lit(None).cast(firsts.schema["first"].dataType).alias("first"))
     copies = firsts.where("n > 1").select("hi", "lo", F.lit(False).alias("all"), "first")
     rules = every.unionByName(copies).groupBy("hi", "lo").agg(F.max("all").alias("all"), F.min("first").alias("first"))
     # Written: Spark can split the partitions of a very common line in a join whose sides are plain shuffles.
     rules = written(rules, "rules")
     gone = occurs.drop("halves").join(rules, ["hi", "lo"]).where(F.col("all") | (order > F.col("first")))
-    return gone.groupBy("doc", "mark").agg(F.collect_set("line").alias("gone"))
+    # Written, as a text that very many rows have is a key of the join with the documents.
+    gone = written(gone.groupBy("doc", "mark").agg(F.collect_set("line").alias("gone")), "gone")
+    discard(occurs, near, rules)
+    return gone
 
 
 @F.pandas_udf(T.StringType())
@@ -235,7 +243,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the text without lines that an earlier line of the corpus equals or nearly equals.
 
     All columns stay, in their order. Lines without a word stay; a null text stays
-    null; a text all of whose lines go is empty. Rows are ordered by id, null ids
+    null; a text all of whose lines go is empty. Ids are whole numbers. Rows are ordered by id, null ids
     last, then by the hash of the text; rows alike in both (repeated rows) are one
     row for this purpose and keep or lose the same lines. An empty table gives an
     empty one.
