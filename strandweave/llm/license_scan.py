@@ -1,12 +1,14 @@
 """License scan: MinHash bands retrieve templates, exact containment verifies them.
 
-A template occurs in a text where a window holds at least `containment` of its
-word shingles. For templates of about one length, windows are twice as long and
-start every template length, so each occurrence lies whole in some window, and
-its Jaccard likeness to the template has a least value J, which `likeness_floor`
-works out. With r rows a band, b bands are as many as make the
-chance that such a window shares no band with the template less than `miss`:
-(1 - J^r)^b < miss.
+A template occurs in a text where a stretch holds at least `containment` of its
+word shingles and is at most STRETCH times as long as the template (words may be
+inserted or changed in it). For templates of about one length, blocks are at least
+such a stretch long; windows are two blocks and start every block, so each occurrence
+lies whole in some window, and its Jaccard likeness to the template has a least value
+J, which `likeness_floor` works out. With r rows a band, b bands are as many as make
+the chance that such a window shares no band with the template less than `miss`:
+(1 - J^r)^b < miss. A window's bands are looked up in the sorted bands of all
+templates of the class.
 
 Two sets have a minimum in common only if they have that shingle in common, so
 signatures are made of those windows alone that hold some shingle of a template.
@@ -30,6 +32,7 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 MISS = 1e-3
 ROWS = 2
+STRETCH = 1.5
 
 # Notices as they stand in files, by SPDX identifier.
 TEMPLATES: dict[str, list[str]] = {
@@ -37,6 +40,7 @@ TEMPLATES: dict[str, list[str]] = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "MIT License",
         "SPDX-License-Identifier: MIT",
     ],
@@ -59,7 +63,12 @@ TEMPLATES: dict[str, list[str]] = {
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
+    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ],
@@ -94,20 +103,28 @@ class Template:
 
 @dataclass
 class Class:
-    """Templates of one length class: block length in shingles, and their MinHash signatures."""
+    """Templates of one length class: block length in shingles, all their shingles, and their bands, sorted, with the template of each."""
 
     block: int
     templates: list[int]
-    signatures: np.ndarray
+    known: np.ndarray
+    bands: np.ndarray
+    owners: np.ndarray
 
 
 def likeness_floor(containment: float) -> float:
     """Least Jaccard likeness of a template to a window of two blocks that holds its share.
 
-    A template has between half a block and a block of shingles; the window has two
-    blocks of them at most.
+    A template has, in blocks, between half of 1 / STRETCH and 1 / STRETCH of shingles;
+    the window has two blocks of them at most.
     """
-    return containment * 0.5 / (2 + (1 - containment) * 0.5)
+    least = 0.5 / STRETCH
+    return containment * least / (2 + (1 - containment) * least)
+
+
+def block_of(size: int) -> int:
+    """The block of a template's class: the power of two that holds its longest stretch."""
+    return 1 << max(0, math.ceil(math.log2(size * STRETCH)))
 
 
 def bands_for(containment: float, miss: float = MISS, rows: int = ROWS) -> int:
@@ -168,31 +185,41 @@ class Scanner:
         self.bands = bands_for(containment, miss)
         self.family = _family(self.bands * ROWS)
         self.classes: list[Class] = []
-        for block in sorted({1 << (t.size - 1).bit_length() for t in self.templates}):
-            members = [k for k, t in enumerate(self.templates) if 1 << (t.size - 1).bit_length() == block]
-            signatures = np.stack([_signature(self.templates[k].shingles, *self.family) for k in members])
-            self.classes.append(Class(block, members, signatures))
+        for block in sorted({block_of(t.size) for t in self.templates}):
+            members = [k for k, t in enumerate(self.templates) if block_of(t.size) == block]
+            bands = np.concatenate([self.banded(self.templates[k].shingles) for k in members])
+            order = np.argsort(bands, kind="stable")
+            known = np.unique(np.concatenate([self.templates[k].shingles for k in members]))
+            self.classes.append(Class(block, members, known, bands[order], np.repeat(members, self.bands)[order]))
         # Equal minima mean a common shingle: windows without any shingle of a template share no band.
         self.known = np.unique(np.concatenate([t.shingles for t in self.templates])) if self.templates else np.zeros(0, dtype=np.uint64)
         self.maybe = np.zeros(1 << 16, dtype=bool)
         self.maybe[(self.known & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    def banded(self, shingles: np.ndarray) -> np.ndarray:
+        """A number for each band: its place and the minima in it."""
+        minima = _signature(shingles, *self.family).reshape(self.bands, ROWS)
+        out = np.arange(self.bands, dtype=np.uint64)
+        for k in range(ROWS):
+            out = mixed(out ^ minima[:, k], 43 + k)
+        return out
+
     def candidates(self, h: np.ndarray, at: np.ndarray) -> set[tuple[int, int, int, int]]:
         """(row, template, first shingle, end) of windows that share a band with a template."""
         out: set[tuple[int, int, int, int]] = set()
         hits = np.flatnonzero(self.maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
         hits = hits[np.isin(h[hits], self.known)]
-        if not len(hits):
-            return out
-        rows = np.searchsorted(at, hits, side="right") - 1
         for c in self.classes:
-            block = (hits - at[rows]) // c.block
-            windows = {(int(r), int(b) - back) for r, b in zip(rows, block, strict=True) for back in (0, 1) if b >= back}
+            own = hits[np.isin(h[hits], c.known)]
+            rows = np.searchsorted(at, own, side="right") - 1
+            block = (own - at[rows]) // c.block
+            windows = {(r, b - back) for r, b in zip(rows.tolist(), block.tolist(), strict=True) for back in (0, 1) if b >= back}
             for row, b in windows:
                 start, end = int(at[row]) + b * c.block, min(int(at[row]) + (b + 2) * c.block, int(at[row + 1]))
-                same = c.signatures == _signature(h[start:end], *self.family)[None, :]
-                shared = same.reshape(len(c.templates), self.bands, ROWS).all(axis=2).any(axis=1)
-                out.update((row, c.templates[j], start, end) for j in np.flatnonzero(shared))
+                bands = self.banded(h[start:end])
+                first, last = np.searchsorted(c.bands, bands), np.searchsorted(c.bands, bands, side="right")
+                for x, y in zip(first[first < last].tolist(), last[first < last].tolist(), strict=True):
+                    out.update((row, k, start, end) for k in c.owners[x:y].tolist())
         return out
 
     def notices(self, words: Words) -> Iterator[tuple[int, str, int]]:

@@ -61,3 +61,52 @@ def test_short_notices_inside_texts():
     assert got == [(0, "LicenseRef-All-Rights-Reserved", 1.0, 150, 1), (1, "MIT", 1.0, 150, 2), (2, "LicenseRef-All-Rights-Reserved", 1.0, 0, 1), (6, "Apache-2.0", 1.0, 150, 1)]
     own = L.Scanner({"A": ["one", "two words"], "B": ["two words"], "C": ["", "a b c d e"]})
     assert [x[:2] for x in own.scan(texts_of(pa.array(["say one", "some two words here", "a b c d e", "b"])))] == [(0, "A"), (1, "A"), (1, "B"), (2, "C")]
+
+
+def shingled(text):
+    """Shingles by plain code: lower case, punctuation as blanks but for full stops and hyphens inside words."""
+    import re
+
+    words = re.sub(r"[.-](?=[\x20\x09-\x0d]|$)", " ", re.sub(r"[!-,/:-@\[-`{-~]", " ", text.lower())).split()
+    return [" ".join(words[k : k + 5]) for k in range(len(words) - 4)]
+
+
+def share_of_best_stretch(text, template):
+    """The largest share of the template's shingles in any stretch of at most STRETCH times its length."""
+    own, wanted = shingled(text), set(shingled(template))
+    n = int(len(shingled(template)) * L.STRETCH)
+    return max((len(wanted & set(own[k : k + n])) / len(wanted) for k in range(max(1, len(own) - n + 1))), default=0)
+
+
+def test_inserted_and_changed_words_lose_no_notice():
+    import random
+
+    rnd = random.Random(8)
+    scanner = L.Scanner(L.TEMPLATES)
+    texts, must = [], []
+    for name, templates in L.TEMPLATES.items():
+        for template in templates:
+            if len(shingled(template)) < 10:
+                continue
+            for _ in range(40):
+                words = template.split()
+                at = rnd.randrange(len(words))
+                words[at:at] = ["inserted"] * rnd.randint(0, len(words) // 2)
+                if rnd.random() < 0.5:
+                    words[rnd.randrange(len(words))] = "changed"
+                text = messy.sentence(rnd, rnd.randint(0, 300)) + " " + " ".join(words) + " " + messy.sentence(rnd, rnd.randint(0, 300))
+                texts.append(text)
+                must.append(name if share_of_best_stretch(text, template) >= 0.8 else None)
+    got = {}
+    for row, name, *_ in scanner.scan(texts_of(pa.array(texts))):
+        got.setdefault(row, set()).add(name)
+    assert sum(m is not None for m in must) > 300
+    assert [k for k, m in enumerate(must) if m is not None and m not in got.get(k, ())] == []
+
+
+def test_full_texts_are_found_and_told_apart():
+    texts = [L.TEMPLATES["BSD-2-Clause"][0], L.TEMPLATES["ISC"][0], L.TEMPLATES["Zlib"][0]]
+    got = {}
+    for row, name, share, *_ in L.Scanner(L.TEMPLATES).scan(texts_of(pa.array(texts))):
+        got.setdefault(row, {})[name] = share
+    assert got[0]["BSD-2-Clause"] == 1.0 and got[1] == {"ISC": 1.0} and got[2] == {"Zlib": 1.0}
