@@ -3,19 +3,22 @@
 The tokenizer cuts a text into pretokens and encodes each alone, so equal
 pretokens have equal ids. Here numpy finds the pretokens of a whole batch, and
 the tokenizer encodes each distinct one once; a cache of bounded size keeps its
-ids. Texts that hold one of the tokenizer's special strings are given to it
-whole.
+ids. A pretoken is known by two independent 64-bit hashes. Given whole to the
+tokenizer are texts that hold one of its special strings, texts of a batch in which
+two pretokens share the first hash, and all texts of a tokenizer that does not cut as
+`pretokens` does.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from strandweave.llm.words import BYTE_BASE, Texts, _Powers, mixed, span_hashes
+from strandweave.llm.words import BYTE_BASE, WORD_BASES, Texts, _Powers, mixed, span_hashes
 
 MOST_CACHED = 1_000_000
 LETTER, NUMBER, OTHER, SPACE = range(4)
@@ -45,13 +48,17 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        cut = parts["pre_tokenizer"] or {}
+        self.cuts_alike = parts["normalizer"] is None and parts["post_processor"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") is True and not cut.get("add_prefix_space")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.classes = _classes()
-        self.powers = _Powers(BYTE_BASE)
+        self.powers, self.others = _Powers(BYTE_BASE), _Powers(WORD_BASES[0])
         self._forget()
 
     def _forget(self) -> None:
         self.hashes = np.zeros(0, dtype=np.uint64)  # sorted
+        self.checks = np.zeros(0, dtype=np.uint64)  # of each hash, the second one
         self.slots = np.zeros(0, dtype=np.int64)  # of each hash, its place in starts
         self.starts = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
@@ -93,7 +100,7 @@ class Encoder:
                 start[after] |= kind[after] == LETTER
         return np.flatnonzero(start)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
         if len(self.hashes) + len(hashes) > MOST_CACHED:
             self._forget()
         ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -103,23 +110,31 @@ class Encoder:
         self.ids = np.concatenate([self.ids, np.array([y for x in ids for y in x], dtype=np.uint32)])
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
+        self.checks = np.insert(self.checks, at, checks)
         self.slots = np.insert(self.slots, at, base + np.arange(len(hashes)))
 
+    def _whole(self, text: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each row as the tokenizer itself gives them."""
+        each = [e.ids for e in self.tokenizer.encode_batch([text[a:b] for a, b in zip(rows[:-1], rows[1:], strict=True)], add_special_tokens=False)]
+        return np.array([y for x in each for y in x], dtype=np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one row after the other, and where each row's start."""
         text = texts.data.tobytes().decode("utf-8", "replace")
         points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
         heads = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
         rows = heads[texts.offsets]
-        if any(s in text for s in self.special):
-            each = [self.tokenizer.encode(text[a:b], add_special_tokens=False).ids for a, b in zip(rows[:-1], rows[1:], strict=True)]
-            return np.array([y for x in each for y in x], dtype=np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        if not self.cuts_alike or any(s in text for s in self.special):
+            return self._whole(text, rows)
         if not len(points):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(rows), dtype=np.int64)
         starts = self.pretokens(points, rows)
         ends = np.append(starts[1:], len(points))
         hashes = mixed(span_hashes(points.astype(np.uint64) + np.uint64(1), starts, ends, self.powers))
+        checks = mixed(span_hashes(points.astype(np.uint64) + np.uint64(1), starts, ends, self.others), 1)
         own, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if (checks != checks[first][inverse]).any():
+            return self._whole(text, rows)
 
         def unknown() -> np.ndarray:
             at = np.minimum(np.searchsorted(self.hashes, own), max(len(self.hashes) - 1, 0))
@@ -130,8 +145,11 @@ class Encoder:
             self._forget()
             new = unknown()
         if len(new):
-            self._learn(own[new], [text[starts[k] : ends[k]] for k in first[new]])
-        slot = self.slots[np.searchsorted(self.hashes, own)][inverse]
+            self._learn(own[new], checks[first][new], [text[starts[k] : ends[k]] for k in first[new]])
+        at = np.searchsorted(self.hashes, own)
+        if (self.checks[at] != checks[first]).any():
+            return self._whole(text, rows)
+        slot = self.slots[at][inverse]
         begin, size = self.starts[slot], self.starts[slot + 1] - self.starts[slot]
         done = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(begin - done[:-1], size) + np.arange(done[-1])]
