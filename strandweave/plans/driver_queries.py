@@ -488,24 +488,51 @@ def q42(spark, sf):
     return spark.createDataFrame([(t, int(found.shifts[t]), k) for k, t in enumerate(found.chain)], "capture string, shift long, chain_pos int")
 
 
-def synthetic_captures(spark: SparkSession) -> list[str]:
-    """Three damaged captures of one tape, in the shared folder."""
+LENGTH, STEP = 400, 250  # units of a capture, and from one capture's start to the next
+
+
+def tapes(n: int) -> dict[str, tuple[int, int]]:
+    """Captures of a tape that is 900 units long and one more for every twenty of n: first and last + 1 unit."""
+    total = 900 + n // 20
+    return {f"c{k:06d}": (k * STEP, min(k * STEP + LENGTH, total)) for k in range(1 + max(0, -(-(total - LENGTH) // STEP)))}
+
+
+def synthetic_captures(spark: SparkSession, sf: str) -> list[str]:
+    """Damaged captures of one tape, in the shared folder; as many as the events are numerous, each rendered by a task."""
     import uuid
 
-    from pyarrow import fs
+    from strandweave.session import shared_dir, ship
+
+    ship(spark)
+    top = f"{shared_dir(spark)}/strandweave/{spark.sparkContext.applicationId}/captures-{uuid.uuid4().hex}"
+    found = tapes(_t(spark, sf, "events").count())
+    last = max(found)
 
-    from strandweave.session import shared_dir
-    from strandweave.sources.synthetic import Tape
+    def render(batches):
+        from pyarrow import fs
 
-    system, folder = fs.FileSystem.from_uri(f"{shared_dir(spark)}/strandweave/captures-{uuid.uuid4().hex}")
-    system.create_dir(folder, recursive=True)
-    tapes = {"A": Tape(0, 400, {50: "cc", 120: "corrupt"}, (200, 201, 202)), "B": Tape(30, 430, {60: "cc"}), "C": Tape(100, 500, {300: "cc"})}
-    out = []
-    for name, tape in tapes.items():
-        with system.open_output_stream(f"{folder}/{name}.m2t") as f:
-            f.write(tape.render())
-        out.append(f"file://{folder}/{name}.m2t" if isinstance(system, fs.LocalFileSystem) else f"{shared_dir(spark)}/strandweave/{folder.rsplit('/', 1)[1]}/{name}.m2t")
-    return out
+        from strandweave.sources.synthetic import Tape
+
+        for batch in batches:
+            for name, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, folder = fs.FileSystem.from_uri(top)
+                system.create_dir(folder, recursive=True)
+                # A break of the counter, a copy that differs and units that are not there, where the next capture has them.
+                tape = Tape(a, b, {a + 300: "cc", a + 320: "corrupt"}, (a + 340, a + 341)) if name != last else Tape(a, b)
+                with system.open_output_stream(f"{folder}/{name}.m2t") as f:
+                    f.write(tape.render())
+            yield batch
+
+    rows = spark.createDataFrame([(name, a, b) for name, (a, b) in found.items()], "name string, a long, b long")
+    rows.repartition(len(found), "name").mapInArrow(render, "name string, a long, b long").count()
+    return [f"{top}/{name}.m2t" for name in found]
+
+
+#: The same captures in SQL: capture, place on the tape, number within the capture, and whether its copy differs. A unit's
+#: packet begins with bytes that end the unit before: that one has the counter's break, and a capture's last unit lacks them.
+T = f"""total AS (SELECT 900 + count(*) // 20 AS t FROM events), k AS (SELECT t, unnest(range(0, 1 + greatest(0, CAST(ceil((t - {LENGTH}) / {STEP}.0) AS BIGINT)))) AS k FROM total),
+tape AS (SELECT k, max(k) OVER () AS last, 'c' || lpad(CAST(k AS VARCHAR), 6, '0') AS tag, k * {STEP} AS a, unnest(range(k * {STEP}, least(k * {STEP} + {LENGTH}, t))) AS p FROM k),
+units AS (SELECT tag, a, p, k < last AND p - a = 320 AS corrupt, k < last AND p - a = 299 AS jump, row_number() OVER (PARTITION BY tag ORDER BY p) - 1 AS i, count(*) OVER (PARTITION BY tag) AS n FROM tape WHERE k = last OR p - a NOT IN (340, 341))"""
 
 
 @query("q43_plan")
@@ -513,44 +540,53 @@ def q43(spark, sf):
     from strandweave.plans.merge_plan import build_plan
     from strandweave.sources.captures import scan, units
 
-    plan = build_plan(units(scan(spark, synthetic_captures(spark))))
+    plan = build_plan(units(scan(spark, synthetic_captures(spark, sf))))
     rows = [(k, s.tag, s.j0, s.j1, s.ngops, s.nbytes, s.frame0, s.gap_before) for k, s in enumerate(plan.segments)]
     return spark.createDataFrame(rows, "seg_idx int, tag string, j0 int, j1 int, ngops int, nbytes long, frame0 long, gap_before boolean")
 
 
-@query("q44_scan")
+@query("q44_scan", f"""WITH {T}, c AS (SELECT p, corrupt, i = n - 1 AS cut, count(*) AS copies FROM units GROUP BY 1, 2, 3)
+SELECT tag, CAST(i AS INTEGER) AS i, i * 752 + 564 AS off, CASE WHEN i = n - 1 THEN n * 752 ELSE (i + 1) * 752 + 564 END AS "end", CASE WHEN i = n - 1 THEN 188 ELSE 752 END AS nbytes, CAST(4 AS INTEGER) AS npic,
+CAST(1 AS INTEGER) AS closed, CAST(0 AS INTEGER) AS broken, CAST(NULL AS BIGINT) AS pts, copies, CAST(jump AS INTEGER) AS cc, CAST(0 AS INTEGER) AS tei, CAST(0 AS INTEGER) AS dec,
+strftime(TIMESTAMP '2007-01-01 09:00:00' + to_seconds(units.p), '%Y-%m-%d %H:%M:%S') AS rec, strftime(TIMESTAMP '2007-01-01 00:00:00' + to_seconds(units.p), '00:%M:%S:') || lpad(CAST(units.p % 25 AS VARCHAR), 2, '0') AS tc
+FROM units JOIN c ON units.p = c.p AND units.corrupt = c.corrupt AND (i = n - 1) = cut""")
 def q44(spark, sf):
+    from strandweave.session import written
     from strandweave.sources.captures import scan, units
 
-    rows = units(scan(spark, synthetic_captures(spark)))
-    return rows.select("tag", "i", "off", "end", "nbytes", "npic", "closed", "broken", "pts", "h", "cc", "tei", "dec", "rec", "tc")
+    rows = written(units(scan(spark, synthetic_captures(spark, sf))), "units")
+    copies = rows.groupBy("h").agg(F.count("*").alias("copies"))
+    return rows.join(copies, "h").select("tag", "i", "off", "end", "nbytes", "npic", "closed", "broken", "pts", "copies", "cc", "tei", "dec", "rec", "tc")
 
 
 @query("q45_build_verify")
 def q45(spark, sf):
-    import tempfile
-
     from strandweave.plans.build import build
     from strandweave.plans.merge_plan import build_plan
     from strandweave.plans.verify import verify_build
     from strandweave.sources.captures import scan, units
 
-    paths = synthetic_captures(spark)
+    paths = synthetic_captures(spark, sf)
     plan = build_plan(units(scan(spark, paths)))
     # Beside the captures, where all executors can write.
-    folder = paths[0].removeprefix("file://").rsplit("/", 1)[0] if paths[0].startswith("file://") else tempfile.mkdtemp()
-    size = build(spark, plan, f"{folder}/merged.out")
-    ok, info = verify_build(spark, f"{folder}/merged.out", plan)
+    to = f"{paths[0].rsplit('/', 1)[0]}/merged.out"
+    size = build(spark, plan, to)
+    ok, info = verify_build(spark, to, plan)
     return spark.createDataFrame([(ok, size, info["cc"], info["expected_cc"], info["rec_head"], info["rec_tail"])], "ok boolean, size long, cc int, expected_cc int, rec_head string, rec_tail string")
 
 
-@query("q53_packet_filter")
+@query("q53_packet_filter", f"WITH {T} SELECT tag || '.m2t' AS capture, count(*) AS packets, count(*) AS starts, count(*) AS rewritten, CAST(sum(jump) AS BIGINT) AS jumps FROM units GROUP BY tag")
 def q53(spark, sf):
     from strandweave.sources.captures import packets
 
-    rows = packets(spark, synthetic_captures(spark), 2000)
+    rows = packets(spark, synthetic_captures(spark, sf), 2000)
     video = rows.where(F.col("pid") == 0x200)
     start = bits.payload_start(bits.byte_at(F.col("packet"), 3), bits.byte_at(F.col("packet"), 4))
     name = F.element_at(F.split("path", "/"), -1)
     again = bits.with_counter(F.col("packet"), F.col("cc") + 1)
-    return video.where(start.isNotNull()).groupBy(name.alias("capture")).agg(F.count("*").alias("packets"), F.count_if("unit_start").alias("starts"), F.count_if(F.length(again) == 188).alias("rewritten"))
+    # What the rewrite leaves: the counter is one up, and nothing else has changed.
+    right = (F.length(again) == 188) & (F.col("cc") + 1 - 16 * (F.col("cc") == 15).cast("int") == bits.byte_at(again, 3).bitwiseAND(15)) & (F.overlay(again, F.substring("packet", 4, 1), 4) == F.col("packet"))
+    order = W.partitionBy("path").orderBy("off")
+    jump = F.pmod(F.col("cc") - F.lag("cc").over(order) - 1, F.lit(16)) != 0
+    kept = video.where(start.isNotNull()).withColumn("again", again).withColumn("_right", right).withColumn("_jump", F.coalesce(jump, F.lit(False)))
+    return kept.groupBy(name.alias("capture")).agg(F.count("*").alias("packets"), F.count_if("unit_start").alias("starts"), F.count_if("_right").alias("rewritten"), F.count_if("_jump").alias("jumps"))

@@ -27,3 +27,16 @@ def read_range(path: str, start: int, length: int) -> bytes:
     with opened(path) as f:
         f.seek(start)
         return f.read(length)
+
+
+def local_path(path: str) -> str | None:
+    """The path as the operating system knows it; None for other file systems."""
+    if "://" not in path:
+        return os.path.abspath(path)
+    system, inner = fs.FileSystem.from_uri(path)
+    return inner if isinstance(system, fs.LocalFileSystem) else None
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))

@@ -217,3 +217,30 @@ def test_progress_is_told(spark):
     with watched(spark, lambda done, total: seen.append((done, total)), 0.05):
         spark.range(8).repartition(8).rdd.foreach(lambda _: time.sleep(0.3))
     assert seen and all(0 <= a <= b for a, b in seen)
+
+
+def test_wider_framing_is_built(spark, tmp_path):
+    def wide(path, tape):
+        data = tape.render()
+        path.write_bytes(b"".join(data[k : k + 188] + b"\1\2\3\4" for k in range(0, len(data), 188)))
+        return str(path)
+
+    paths = [wide(tmp_path / "A.m2t", Tape(0, 20)), wide(tmp_path / "B.m2t", Tape(30, 50))]
+    plan = build_plan(captures.units(captures.scan(spark, paths)))
+    out = "file://" + str(tmp_path / "out.m2t")
+    size = build(spark, plan, out)
+    data = open(tmp_path / "out.m2t", "rb").read()
+    assert len(data) == size and size % 192 == 0 and all(data[k] == 0x47 for k in range(0, size, 192))
+    got = scanned(str(tmp_path / "out.m2t"))
+    assert len(got) == 40 and sum(u.cc for u in got) == 0
+
+
+def test_parts_are_joined_where_tasks_cannot_share_a_file(spark, tmp_path, monkeypatch):
+    from strandweave.plans import build as B
+
+    rows = units_of(spark, tmp_path, A=Tape(0, 20), B=Tape(10, 30))
+    plan = build_plan(rows)
+    build(spark, plan, str(tmp_path / "one.m2t"))
+    monkeypatch.setattr(B, "local_path", lambda _: None)
+    build(spark, plan, str(tmp_path / "two.m2t"))
+    assert (tmp_path / "one.m2t").read_bytes() == (tmp_path / "two.m2t").read_bytes() and not (tmp_path / "two.m2t.parts").exists()
