@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandweave.session import written
+
 
 def _by(part: Sequence[str], *order: str | Column):
     return W.partitionBy(*part).orderBy(*order)
@@ -170,17 +172,32 @@ def missing_ranges(intervals: DataFrame, part: Sequence[str], lo: str, hi: str)
     return intervals.withColumn("_r", reach).where(F.col(lo) > F.col("_r") + 1).select(*part, (F.col("_r") + 1).alias("gap_from"), (F.col(lo) - 1).alias("gap_to"))
 
 
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "pos") -> DataFrame:
+    """Number rows from 0 in one order of all rows, and give the bucket that each is in.
+
+    Rows are written in buckets that are ranges of the order; each bucket numbers its
+    own rows, and only a count for each bucket meets in one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.repartitionByRange(n, *order).withColumn("_b", F.spark_partition_id()), "ranges")
+    counts = placed.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = counts.select("_b", F.coalesce(F.sum("_n").over(_before([], "_b")), F.lit(0)).alias("_n"))
+    own = F.row_number().over(_by(["_b"], *order)) - 1
+    return placed.withColumn("_own", own).join(F.broadcast(before), "_b").withColumn(name, (F.col("_n") + F.col("_own")).cast("long")).drop("_n", "_own")
+
+
 def kway_merge(df: DataFrame, run: str, position: str, key: Column, gap: str = "gap_before") -> DataFrame:
     """Merge runs by the key of their heads, ties to the lower run; gap is true where the run changes.
 
     Taking the least head again and again is the order of the running maximum of the
-    key within each run. The result's rank is one global order over the runs' rows.
+    key within each run, so the result's places are numbers in that order.
     """
     reached = F.max(key).over(W.partitionBy(run).orderBy(position).rowsBetween(W.unboundedPreceding, 0))
-    keyed = df.withColumn("_m", reached)
-    order = W.orderBy("_m", run, position)
-    out = keyed.withColumn("out_pos", (F.row_number().over(order) - 1).cast("long"))
-    return out.withColumn(gap, F.coalesce(F.lag(run).over(order) != F.col(run), F.lit(False))).drop("_m")
+    placed = written(numbered(df.withColumn("_m", reached), ["_m", run, position], "out_pos"), "merged")
+    lasts = placed.groupBy("_b").agg(F.max_by(run, "out_pos").alias("_last")).withColumn("_edge", F.lag("_last").over(_by([], "_b")))
+    last = F.coalesce(F.lag(run).over(_by(["_b"], "out_pos")), F.col("_edge"))
+    found = placed.join(F.broadcast(lasts.select("_b", "_edge")), "_b").withColumn(gap, F.coalesce(last != F.col(run), F.lit(False)))
+    return found.drop("_m", "_b", "_edge")
 
 
 def chain_rank(shifts: DataFrame, shift: str = "shift", tag: str = "tag") -> DataFrame:

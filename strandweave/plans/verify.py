@@ -66,19 +66,20 @@ def find_duplicate_frames(spark: SparkSession, path: str) -> list[dict]:
     return [r.asDict() for r in duplicate_frames(units(scan(spark, [path]))).collect()]
 
 
-def decode_errors(log: DataFrame, rows: DataFrame, line: str = "line", number: str = "n") -> DataFrame:
+def decode_errors(log: DataFrame, rows: DataFrame, line: str = "line", number: str = "n", part: Sequence[str] = ()) -> DataFrame:
     """kind, j, errors of a decoder's log: each error belongs to the unit of the next frame line.
 
     log: lines in order (number, line); frame lines carry a presentation time in
-    seconds. Errors after the last frame line are dropped. rows: j, pts.
+    seconds. Errors after the last frame line are dropped. rows: j, pts. part names
+    columns of both that tell the logs of several captures apart.
     """
     known = log.withColumn("kind", text.log_class(F.col(line)))
     frames = F.when(F.col("kind") == "frame", text.frame_ticks(F.col(line)))
-    after = W.orderBy(number).rowsBetween(1, W.unboundedFollowing)
+    after = W.partitionBy(*part).orderBy(number).rowsBetween(1, W.unboundedFollowing)
     found = known.withColumn("ticks", F.first(frames, ignorenulls=True).over(after)).where("kind in ('error', 'container') and ticks is not null")
-    probes = found.groupBy("ticks", "kind").agg(F.count("*").alias("errors"))
-    at = matching.asof_truncated(probes, rows.select("j", "pts"), [], "ticks", "pts", "j")
-    return at.groupBy("kind", "j").agg(F.sum("errors").alias("errors"))
+    probes = found.groupBy(*part, "ticks", "kind").agg(F.count("*").alias("errors"))
+    at = matching.asof_truncated(probes, rows.select(*part, "j", "pts"), part, "ticks", "pts", "j")
+    return at.groupBy(*part, "kind", "j").agg(F.sum("errors").alias("errors"))
 
 
 def with_decode(rows: DataFrame, errors: DataFrame) -> DataFrame:

@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 from strandweave.operators.matching import work_list
-from strandweave.session import ship
+from strandweave.session import _in_hadoop, ship, written
 from strandweave.sources import transport
 from strandweave.sources.bytesio import opened, read_range, size_of
+from strandweave.sources.decoder import decoded
 
 EXTENSIONS = (".m2t", ".ts", ".m2ts", ".mts", ".mpg", ".mpeg", ".trp", ".tp", ".hdv")
 VERSION = 6
@@ -86,33 +87,54 @@ def scan(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return todo.repartition(max(len(paths), 1), "path").mapInArrow(_scan, UNITS)
 
 
-def index(spark: SparkSession, paths: Sequence[str], cache: str | None = None, force: bool = False) -> DataFrame:
-    """Units of captures, from the cache where path, fingerprint and version agree."""
-    marks = spark.createDataFrame([(p, fingerprint_of(p), VERSION) for p in paths], "path string, fingerprint string, v int")
+def _marks(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame([(p, fingerprint_of(p), VERSION) for p in paths], "path string, fingerprint string, v int")
+
+
+def _kept(spark: SparkSession, cache: str) -> DataFrame:
+    """The cache's rows; none where there is no cache yet."""
+    system, there = _in_hadoop(spark, cache)
+    return spark.read.schema(UNITS).parquet(cache) if system.exists(there) else spark.createDataFrame([], UNITS)
+
+
+def _due(marks: DataFrame, kept: DataFrame, decode: bool) -> tuple[list[str], list[str]]:
+    """Captures to scan, and captures that were scanned and are still to be decoded."""
+    keys = ["path", "fingerprint", "v"]
+    heads = kept.where("i = -1").select(*keys, "decoded")
+    scan_these = [r["path"] for r in work_list(marks, heads, keys).collect()]
+    done = heads.where("decoded")
+    owed = [r["path"] for r in work_list(marks, done, keys).collect()] if decode else []
+    return scan_these, [p for p in owed if p not in set(scan_these)]
+
+
+def index(spark: SparkSession, paths: Sequence[str], cache: str | None = None, force: bool = False, decoder: Sequence[str] | None = None) -> DataFrame:
+    """Units of captures, from the cache where path, fingerprint and version agree.
+
+    With a decoder's command, captures that were not decoded yet are, and keep it in
+    the cache. A capture's rows are one partition of the cache, which is replaced
+    whole when its work is done.
+    """
     if cache is None:
-        return scan(spark, paths)
-    try:
-        kept = spark.read.schema(UNITS).parquet(cache)
-        kept.limit(1).collect()
-    except Exception as error:  # no cache yet, or one that can't be read: all is work
-        if "PATH_NOT_FOUND" not in str(error) and "FAILED_READ_FILE" not in str(error) and "CANNOT_READ" not in str(error):
-            raise
-        kept = spark.createDataFrame([], UNITS)
-    heads = kept.where("i = -1").select("path", "fingerprint", "v")
-    todo = paths if force else [r["path"] for r in work_list(marks, heads, ["path", "fingerprint", "v"]).collect()]
-    if todo:
-        # New rows are added; old ones of a changed file no longer meet a fingerprint.
-        scan(spark, todo).write.mode("append").partitionBy("path").parquet(cache)
-    return spark.read.schema(UNITS).parquet(cache).join(marks.drop("v"), ["path", "fingerprint"], "left_semi").where(F.col("v") == VERSION).dropDuplicates(["path", "i"])
-
-
-def needs_work(spark: SparkSession, paths: Sequence[str], cache: str) -> list[str]:
-    """Captures that index() would scan."""
-    marks = spark.createDataFrame([(p, fingerprint_of(p), VERSION) for p in paths], "path string, fingerprint string, v int")
-    if not os.path.exists(cache):
-        return list(paths)
-    heads = spark.read.schema(UNITS).parquet(cache).where("i = -1")
-    return [r["path"] for r in work_list(marks, heads.select("path", "fingerprint", "v"), ["path", "fingerprint", "v"]).collect()]
+        fresh = scan(spark, paths)
+        return decoded(written(fresh, "scan"), decoder) if decoder else fresh
+    marks = _marks(spark, paths)
+    kept = _kept(spark, cache)
+    todo, owed = _due(marks, kept, decoder is not None)
+    todo, owed = (list(paths), []) if force else (todo, owed)
+    if todo or owed:
+        fresh = scan(spark, todo) if todo else spark.createDataFrame([], UNITS)
+        if owed:
+            fresh = fresh.unionByName(kept.join(marks.drop("v"), ["path", "fingerprint"], "left_semi").where(F.col("path").isin(owed) & (F.col("v") == VERSION)).select(fresh.columns))
+        fresh = written(fresh, "scan")
+        done = written(decoded(fresh, decoder), "decoded") if decoder else fresh
+        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("path").parquet(cache)
+    return _kept(spark, cache).join(marks.drop("v"), ["path", "fingerprint"], "left_semi").where(F.col("v") == VERSION)
+
+
+def needs_work(spark: SparkSession, paths: Sequence[str], cache: str, decode: bool = False) -> list[str]:
+    """Captures that index() would scan or, if decode, decode."""
+    todo, owed = _due(_marks(spark, paths), _kept(spark, cache), decode)
+    return [p for p in paths if p in {*todo, *owed}]
 
 
 def units(table: DataFrame) -> DataFrame:

@@ -244,3 +244,37 @@ def test_parts_are_joined_where_tasks_cannot_share_a_file(spark, tmp_path, monke
     monkeypatch.setattr(B, "local_path", lambda _: None)
     build(spark, plan, str(tmp_path / "two.m2t"))
     assert (tmp_path / "one.m2t").read_bytes() == (tmp_path / "two.m2t").read_bytes() and not (tmp_path / "two.m2t.parts").exists()
+
+
+#: Says of each capture that its sixth second has damage.
+DECODER = ("python3", "-c", "import sys; e=sys.stderr; print('[showinfo] n:0 pts_time:0.0', file=e); print('[mpeg2video] ac-tex damaged', file=e); print('[showinfo] n:1 pts_time:0.0 ' + sys.argv[1], file=e)", "{path}")
+
+
+def test_decoder_pass_is_kept_and_made_up_for(spark, tmp_path):
+    paths, cache = [Tape(0, 12).write(tmp_path / f"{n}.m2t") for n in "AB"], str(tmp_path / "cache")
+    captures.index(spark, paths[:1], cache, decoder=DECODER)
+    assert captures.needs_work(spark, paths, cache) == captures.needs_work(spark, paths, cache, decode=True) == paths[1:]
+    plain = captures.index(spark, paths, cache)
+    assert {(r.path, r.decoded) for r in plain.where("i = -1").collect()} == {(paths[0], True), (paths[1], False)}
+    assert captures.needs_work(spark, paths, cache) == [] and captures.needs_work(spark, paths, cache, decode=True) == paths[1:]
+    done = captures.index(spark, paths, cache, decoder=DECODER)
+    assert done.count() == 26 and captures.needs_work(spark, paths, cache, decode=True) == []
+    assert {(r.path, r.i, r.dec) for r in done.where("dec > 0").collect()} == {(p, 0, 1) for p in paths}
+    direct = captures.index(spark, paths, None, decoder=DECODER)
+    assert sorted(map(str, direct.collect())) == sorted(map(str, done.select(direct.columns).collect()))
+
+
+def test_command_line_runs_a_decoder(spark, tmp_path, capsys):
+    import shlex
+
+    Tape(0, 20).write(tmp_path / "A.m2t")
+    assert cli.main(["--json", "--no-index", "--decoder", shlex.join(DECODER), str(tmp_path)], spark) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert got["sources"][0]["dec"] == 1 and got["sources"][0]["decoded"]
+    assert cli.main(["--json", "--no-index", "--decoder", "no-such-decoder {path}", str(tmp_path)], spark) == 0
+    assert "no-such-decoder is not here" in capsys.readouterr().err
+
+
+def test_sources_not_used_are_reported_with_their_span(spark, tmp_path):
+    plan = build_plan(units_of(spark, tmp_path, A=Tape(0, 40), B=Tape(0, 40)))
+    assert "| B " in render(plan) and "09:00:00 – 09:00:39" in render(plan)
