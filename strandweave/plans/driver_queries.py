@@ -479,7 +479,14 @@ def q52(spark, sf):
 # --- whole plans: the alignment over sources, and synthetic captures for what works on bytes
 
 
-@query("q42_greedy_align")
+@query("q42_greedy_align", f"""WITH RECURSIVE {L}, r AS (SELECT source AS c, capture * 1000000 + j AS j, h FROM l), u AS (SELECT * FROM r WHERE h IN (SELECT h FROM r GROUP BY h HAVING count(*) <= 4)),
+v AS (SELECT p.c AS p, s.c AS s, p.j - s.j AS delta, count(*) AS votes, min(s.j) AS min_j FROM u p JOIN u s ON p.h = s.h AND p.c <> s.c GROUP BY 1, 2, 3), n AS (SELECT c, count(*) AS n FROM r GROUP BY c),
+st AS (SELECT [{{'c': min(c), 'shift': 0::BIGINT, 'rank': 0::BIGINT}}] AS placed FROM n
+UNION ALL SELECT list_append(placed, (SELECT {{'c': s, 'shift': place, 'rank': len(placed)}} FROM (SELECT v.s, z.x.shift + v.delta AS place, sum(v.votes) AS total, min(ROW(v.min_j, z.x.rank, v.min_j + v.delta)) AS first FROM (SELECT unnest(placed) AS x) z JOIN v ON v.p = z.x.c
+WHERE NOT list_contains([y.c FOR y IN placed], v.s) GROUP BY 1, 2) ORDER BY total DESC, s, first LIMIT 1)) FROM st WHERE len(placed) < (SELECT count(*) FROM n) AND placed[-1] IS NOT NULL),
+last AS (SELECT [y FOR y IN placed IF y IS NOT NULL] AS placed FROM st ORDER BY len(placed) DESC LIMIT 1), f AS (SELECT x.c AS c, x.shift AS shift FROM (SELECT unnest(placed) AS x FROM last)),
+rest AS (SELECT c, (SELECT max(shift + n) FROM f JOIN n USING (c)) + coalesce(sum(n) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS shift FROM n WHERE c NOT IN (SELECT c FROM f)),
+a AS (SELECT * FROM f UNION ALL SELECT * FROM rest) SELECT c AS capture, shift - min(shift) OVER () AS shift, CAST(row_number() OVER (ORDER BY shift, c) - 1 AS INTEGER) AS chain_pos FROM a""")
 def q42(spark, sf):
     from strandweave.plans.align import align
 
@@ -546,7 +553,7 @@ def q43(spark, sf):
 
 
 @query("q44_scan", f"""WITH {T}, c AS (SELECT p, corrupt, i = n - 1 AS cut, count(*) AS copies FROM units GROUP BY 1, 2, 3)
-SELECT tag, CAST(i AS INTEGER) AS i, i * 752 + 564 AS off, CASE WHEN i = n - 1 THEN n * 752 ELSE (i + 1) * 752 + 564 END AS "end", CASE WHEN i = n - 1 THEN 188 ELSE 752 END AS nbytes, CAST(4 AS INTEGER) AS npic,
+SELECT tag, CAST(i AS INTEGER) AS i, i * 752 + 564 AS off, CASE WHEN i = n - 1 THEN n * 752 ELSE (i + 1) * 752 + 564 END AS "end", CAST(CASE WHEN i = n - 1 THEN 188 ELSE 752 END AS BIGINT) AS nbytes, CAST(4 AS INTEGER) AS npic,
 CAST(1 AS INTEGER) AS closed, CAST(0 AS INTEGER) AS broken, CAST(NULL AS BIGINT) AS pts, copies, CAST(jump AS INTEGER) AS cc, CAST(0 AS INTEGER) AS tei, CAST(0 AS INTEGER) AS dec,
 strftime(TIMESTAMP '2007-01-01 09:00:00' + to_seconds(units.p), '%Y-%m-%d %H:%M:%S') AS rec, strftime(TIMESTAMP '2007-01-01 00:00:00' + to_seconds(units.p), '00:%M:%S:') || lpad(CAST(units.p % 25 AS VARCHAR), 2, '0') AS tc
 FROM units JOIN c ON units.p = c.p AND units.corrupt = c.corrupt AND (i = n - 1) = cut""")
