@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandweave.llm import html_extract, iblt, language_id, license_scan, line_dedup, media, mixing, packing, simhash, substring_dedup
 
@@ -60,6 +61,21 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_documents(spark, sf_dir))
 
 
+# The columns of three results that SQL can say; each runs the whole operator.
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def document_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_document_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
@@ -71,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_html_extraction": op9_html_extraction,
     "op10_media_columns": op10_media_columns,
+    "mixing_targets": mixing_targets,
+    "document_edits": document_edits,
+    "media_payloads": media_payloads,
 }
 
 #: The others need hashes, tokenizers, sketches or fits that SQL lacks; the tests hold them against brute force.
@@ -90,4 +109,14 @@ d AS (SELECT h FROM x WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1), r AS
 c AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r),
 k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS m, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS t FROM c GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(n, 0) AS n_words, coalesce(m, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN k ON documents.doc_id = k.doc_id""",
+    "mixing_targets": r"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+g AS (SELECT 1.5 * sum(size)::DOUBLE AS total FROM s), lvl AS (SELECT 0 AS step, total / (SELECT sum(w) FROM s) AS level FROM g
+UNION ALL SELECT step + 1, (SELECT (any_value(total) - coalesce(sum(2.0 * size) FILTER (WHERE lvl.level * w > 2.0 * size), 0)) / sum(w) FILTER (WHERE lvl.level * w <= 2.0 * size) FROM s, g) FROM lvl WHERE step < 60)
+SELECT doc_id, d.size, s.size AS source_size, round(least(2.0 * s.size, coalesce((SELECT max(level) FROM lvl WHERE step = 60), 1e300) * w), 6) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source""",
+    "document_edits": r"""WITH o AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS r, count(*) OVER () AS c FROM documents)
+SELECT a.doc_id, a.n AS n_chars, sha256(left(a.t, a.n - a.n // 3) || left(b.t, a.n // 3)) AS edited_sha256 FROM o a JOIN o b ON b.r = a.r % a.c + 1""",
+    "media_payloads": r"""WITH p AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), q AS (SELECT *, greatest(576, (octet_length(b) + 575) // 576 * 576) AS n FROM p),
+r AS (SELECT doc_id, octet_length(b) AS n_bytes, n, unhex(hex(b) || repeat('FF', n - octet_length(b))) AS body FROM q), m AS (SELECT *, encode('P5' || chr(10) || '576 ' || (n // 576) || chr(10) || '255' || chr(10)) || body AS media FROM r)
+SELECT doc_id, n_bytes, n AS payload_bytes, sha256(body) AS payload_sha256, octet_length(media) AS media_bytes, sha256(media) AS media_sha256 FROM m""",
 }
