@@ -1,10 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model of order N for each language. An n-gram's log-probabilities in all
-languages stand in one row of a table sorted by the n-gram's hash, so a text
-needs one look-up per order and character for all languages together. For an
-n-gram that no training text has, the log-probability is that of the shorter
-n-gram plus the context's back-off weight: interpolation makes both exact.
+One model of order N for each language. The log-probabilities of an n-gram, in the
+languages that have it, stand side by side in a table sorted by the n-gram's hash, so
+a text needs one look-up per order and character for all languages together. Where a
+language does not have an n-gram, the log-probability is that of the shorter n-gram
+plus the context's back-off weight: interpolation makes both exact.
 
 A text goes to the language of the lowest cross-entropy per character. It is
 rejected where that cross-entropy lies above the language's limit, which
@@ -36,7 +36,7 @@ ORDER = 4
 #: The documented bound of the fit: so many distinct texts of each language, those of
 #: the least hash of their content, are counted, and as many again calibrate.
 SAMPLE = 400
-KEPT_BITS = 18
+KEPT_BITS = 20  # of numbers that are kept, a power of two, for n-grams times languages
 UNDECIDED = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = regex.compile(r"[^\p{L}]+")
@@ -89,13 +89,37 @@ def _keys(points: np.ndarray, n: int) -> np.ndarray:
     return mixed(out, n)
 
 
+@dataclass
+class Values:
+    """A number for some languages of each n-gram: those of the k-th stand from start[k] to start[k + 1]."""
+
+    start: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, keys: list[np.ndarray], values: list[np.ndarray]) -> "Values":
+        """From each language's n-grams (all of them in hashes) and numbers."""
+        at = np.searchsorted(hashes, np.concatenate(keys))
+        lang = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        order = np.argsort(at, kind="stable")
+        start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(hashes)))])
+        return cls(start, lang[order].astype(np.int32), np.concatenate(values)[order].astype(np.float32))
+
+    def at(self, rows: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, language, number) of all that is known of the rows' n-grams."""
+        counts = self.start[grams + 1] - self.start[grams]
+        flat = np.repeat(self.start[grams] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return np.repeat(rows, counts), self.lang[flat], self.value[flat]
+
+
 @dataclass
 class Order:
     """Sorted hashes of n-grams; by language their log-probability, and their back-off weight as a context."""
 
     hashes: np.ndarray
-    log_p: np.ndarray
-    log_back: np.ndarray
+    log_p: Values
+    log_back: Values
     first: np.ndarray  # where hashes with the same top bits start
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -141,15 +165,17 @@ class Model:
         size = chars.shape[1]
         total = np.tile(self.floor, (len(chars), 1))
         for n, order in enumerate(self.orders, 1):
-            may = known >= n - 1
-            at = order.find(_key_of(chars[:, size - n :], n))
-            hit = may & (at < len(order.hashes))
+            may = np.flatnonzero(known >= n - 1)
             if n > 1:
                 shorter = self.orders[n - 2]
-                context = shorter.find(_key_of(chars[:, size - n : size - 1], n - 1))
-                weigh = may & ~hit & (context < len(shorter.hashes))
-                total[weigh] += shorter.log_back[context[weigh]]
-            total[hit] = order.log_p[at[hit]]
+                context = shorter.find(_key_of(chars[may, size - n : size - 1], n - 1))
+                some = context < len(shorter.hashes)
+                row, lang, back = shorter.log_back.at(may[some], context[some])
+                total[row, lang] += back
+            at = order.find(_key_of(chars[may, size - n :], n))
+            some = at < len(order.hashes)
+            row, lang, log_p = order.log_p.at(may[some], at[some])
+            total[row, lang] = log_p
         return total
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,10 +188,11 @@ class Model:
         n, starts = len(self.orders), np.cumsum(sizes) - sizes
         place = np.arange(len(points)) - np.repeat(starts, sizes)
         keys = _keys(points, n) if len(points) >= n else np.zeros(len(points), dtype=np.uint64)
+        bits = max(8, KEPT_BITS - max(0, len(self.languages) - 1).bit_length())
         if self.kept is None:
-            self.kept = np.zeros(1 << KEPT_BITS, dtype=np.uint64), np.zeros((1 << KEPT_BITS, len(self.languages)), dtype=np.float32)
+            self.kept = np.zeros(1 << bits, dtype=np.uint64), np.zeros((1 << bits, len(self.languages)), dtype=np.float32)
         names, values = self.kept
-        slot = (keys >> np.uint64(64 - KEPT_BITS)).astype(np.int64)
+        slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
         miss = np.flatnonzero((names[slot] != keys) | (place < n - 1))
         total = values[slot]  # before others take the slots
         if len(miss):
@@ -190,7 +217,7 @@ class Model:
         for k, t in enumerate(texts):  # bounded batches of characters
             held.append(k)
             size += len(t or "")
-            if size > 1 << 19:
+            if size * max(4, len(self.languages)) > 1 << 21:
                 groups, held, size = [*groups, held], [], 0
         for rows in [*groups, *([held] if held else [])]:
             cross, letters = self.entropies([texts[k] or "" for k in rows])
@@ -239,36 +266,36 @@ def _kneser_ney(texts: list[list[str]], order: int) -> tuple[np.ndarray, list[Or
 def _tables(grams: list[list[Grams]]) -> tuple[np.ndarray, list[Order]]:
     """Interpolated Kneser-Ney tables from the n-grams of each language, shortest first."""
     langs, order = len(grams), len(grams[0])
-    # Lower orders count in how many contexts an n-gram occurs; what only begins texts counts once.
-    kinds_of = [[np.maximum(np.bincount(np.searchsorted(own[n].key, own[n + 1].suffix), minlength=len(own[n].key)), 1) if n + 1 < order else own[n].count for n in range(order)] for own in grams]
     spread = 1 / (len(np.unique(np.concatenate([own[0].key for own in grams]))) + 1000)  # a share for characters of no training text
-    floor, tables, lower = np.zeros(langs), [], np.zeros((0, langs))
-    for n in range(order):
-        union, first = np.unique(np.concatenate([own[n].key for own in grams]), return_index=True)
-        prefix, suffix = (np.concatenate([getattr(own[n], c) for own in grams])[first] for c in ("prefix", "suffix"))
-        p = np.zeros((len(union), langs))
-        for x, own in enumerate(grams):
-            counts = kinds_of[x][n].astype(np.float64)
+    floor = np.full(langs, np.log(spread))
+    log_p: list[list[np.ndarray]] = [[] for _ in range(order)]
+    contexts: list[list[np.ndarray]] = [[] for _ in range(order)]
+    log_back: list[list[np.ndarray]] = [[] for _ in range(order)]
+    for x, own in enumerate(grams):
+        lower = np.zeros(0)
+        for n, g in enumerate(own):
+            # Lower orders count in how many contexts an n-gram occurs; what only begins texts counts once.
+            counts = np.maximum(np.bincount(np.searchsorted(g.key, own[n + 1].suffix), minlength=len(g.key)), 1) if n + 1 < order else g.count
             ones, twos = (counts == 1).sum(), (counts == 2).sum()
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            context, of = np.unique(own[n].prefix, return_inverse=True)
+            context, of = np.unique(g.prefix, return_inverse=True)
             total, kinds = np.bincount(of, counts, len(context)), np.bincount(of, minlength=len(context))
             back = discount * kinds / np.maximum(total, 1)
-            seen = np.zeros(len(union))
-            seen[np.searchsorted(union, own[n].key)] = np.maximum(counts - discount, 0)
             if n:
-                short = lower[np.searchsorted(tables[-1].hashes, suffix), x]
-                tables[-1].log_back[np.searchsorted(tables[-1].hashes, context), x] = np.log(back)
+                short = lower[np.searchsorted(own[n - 1].key, g.suffix)]
+                contexts[n - 1].append(context)
+                log_back[n - 1].append(np.log(back))
             else:
-                short = np.full(len(union), spread)
-                floor[x] = np.log((back[0] if len(back) else 1.0) * spread)
-            if len(context):
-                at = np.minimum(np.searchsorted(context, prefix), len(context) - 1)
-                p[:, x] = np.where(context[at] == prefix, seen / np.maximum(total[at], 1) + back[at] * short, short)
-            else:
-                p[:, x] = short
-        lower = p
-        tables.append(Order(union, np.log(p).astype(np.float32), np.zeros((len(union), langs), dtype=np.float32), _top(union)))
+                short = spread
+                floor[x] += np.log(back[0]) if len(back) else 0.0
+            lower = np.maximum(counts - discount, 0) / total[of] + back[of] * short
+            log_p[n].append(np.log(lower))
+    contexts[-1], log_back[-1] = [np.zeros(0, dtype=np.uint64)] * langs, [np.zeros(0)] * langs
+    tables = []
+    for n in range(order):
+        keys = [own[n].key for own in grams]
+        hashes = np.unique(np.concatenate(keys))
+        tables.append(Order(hashes, Values.of(hashes, keys, log_p[n]), Values.of(hashes, contexts[n], log_back[n]), _top(hashes)))
     return floor, tables
 
 
@@ -329,8 +356,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
 
     Odd ranks are counted, each text whole, even ranks calibrate; a language of one
     text uses it for both. Executors count; the driver gets the distinct n-grams of the
-    sample and one number for each text that calibrates. The model's table is dense,
-    n-grams of the sample times languages, 8 bytes each.
+    sample and one number for each text that calibrates. The model has 14 bytes for
+    each n-gram of each language's sample, and 10 for each distinct one.
     """
     texts = sampled(labelled, text_col, lang_col, sample)
     langs = sorted(r["lang"] for r in texts.select("lang").distinct().collect())
