@@ -12,12 +12,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
-from strandweave.operators.matching import work_list
+from strandweave.operators.matching import asof_nearest, work_list
+from strandweave.operators.ordered import lead_end
 from strandweave.session import _in_hadoop, ship, written
 from strandweave.sources import transport
 from strandweave.sources.bytesio import opened, read_range, size_of
@@ -29,7 +31,6 @@ UNITS = (
     "path string, tag string, fingerprint string, v int, size long, video_pid int, aux_pid int, stride int, fps double, decoded boolean, "
     "i int, off long, end long, nbytes long, npic int, closed int, broken int, pts long, h string, cc int, tei int, dec int, rec string, tc string"
 )
-_NAMES = [x.split()[0] for x in UNITS.split(", ")]
 
 
 class SameTag(ValueError):
@@ -56,39 +57,80 @@ def fingerprint_of(path: str) -> str:
     return transport.fingerprint(size, read_range(path, 0, part), read_range(path, size - part, part) if size > 2 * part else None)
 
 
-def _rows(path: str, mark: str) -> list[tuple]:
-    """Rows of one capture: a head row (i = -1) and its units; none if it has no video."""
-    size = size_of(path)
-    found = transport.find_streams(read_range(path, 0, transport.HEAD_BYTES))
-    if found is None or found.video is None:
-        return []
-    with opened(path) as f:
-        units = transport.Scan(found).read(f, size)
-    head = (path, tag_of(path), mark, VERSION, size, found.video, found.aux, found.stride, 25.0, False)
-    rows: list[tuple] = [(*head, -1, *[None] * 13)]
-    return rows + [(*head, u.i, u.off, u.end, u.end - u.off, u.npic, u.closed, u.broken, u.pts, u.h, u.cc, u.tei, 0, u.rec, u.tc) for u in units]
+RANGE = 256 << 20  # bytes of a capture that one task scans
+HEADS = "path string, fingerprint string, size long, video_pid int, aux_pid int, stride int, first long"
+FOUND = "path string, at long, off long, npic int, closed int, broken int, pts long, h string, cc int, tei int, rec string, tc string"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
-_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = [x.split() for x in schema.split(", ")]
+    return pa.record_batch([pa.array([r[k] for r in rows], _ARROW[kind]) for k, (_, kind) in enumerate(kinds)], names=[name for name, _ in kinds])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Framing and streams of captures that have video."""
     for batch in batches:
+        rows = []
         for path, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = _rows(path, mark)
-            if rows:
-                yield pa.record_batch([pa.array(c, _ARROW[x.split()[1]]) for c, x in zip(zip(*rows, strict=True), UNITS.split(", "), strict=True)], names=_NAMES)
+            found = transport.find_streams(read_range(path, 0, transport.HEAD_BYTES))
+            if found is not None and found.video is not None:
+                rows.append((path, mark, size_of(path), found.video, found.aux, found.stride, found.first))
+        yield _batch(rows, HEADS)
 
 
-def scan(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Head and unit rows of captures, one task each."""
-    ship(spark)
-    todo = spark.createDataFrame([(p, fingerprint_of(p)) for p in paths], "path string, fingerprint string")
-    return todo.repartition(max(len(paths), 1), "path").mapInArrow(_scan, UNITS)
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units, and labels (without a hash), of ranges of captures."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            streams = transport.Streams(r["stride"], r["first"], r["video_pid"], r["aux_pid"])
+            with opened(r["path"]) as f:
+                found, labels = transport.units_between(f, streams, r["a"], r["b"], r["size"])
+            yield _batch([(r["path"], u.at, u.off, u.npic, u.closed, u.broken, u.pts, u.h, u.cc, u.tei, None, None) for u in found], FOUND)
+            yield _batch([(r["path"], at, at, *[None] * 7, rec, tc) for at, rec, tc in labels], FOUND)
+
+
+def _paths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(len(paths), 1), "path")
 
 
 def _marks(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(p, fingerprint_of(p), VERSION) for p in paths], "path string, fingerprint string, v int")
+    """path, fingerprint and v of captures, each read by a task of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([(p, fingerprint_of(p), VERSION) for p in batch.column(0).to_pylist()], "path string, fingerprint string, v int")
+
+    ship(spark)
+    return written(_paths(spark, paths).mapInArrow(run, "path string, fingerprint string, v int"), "marks")
+
+
+def scan(spark: SparkSession, paths: Sequence[str], range_bytes: int = RANGE) -> DataFrame:
+    """Head and unit rows of captures; a task reads one range of one capture.
+
+    Numbers, ends and labels follow from the order of a capture's units: they are the
+    ordered operators' work.
+    """
+    heads = written(_marks(spark, paths).select("path", "fingerprint").repartition(max(len(paths), 1), "path").mapInArrow(_heads, HEADS), "heads")
+    starts = F.sequence(F.col("first"), F.greatest("first", F.col("size") - 1), F.lit(range_bytes))
+    ranges = heads.withColumn("a", F.explode(starts)).withColumn("b", F.least(F.col("a") + range_bytes, "size"))
+    n = max(1, sum(-(-r["size"] // range_bytes) for r in heads.select("size").collect()))
+    found = written(ranges.repartition(n, "path", "a").mapInArrow(_ranges, FOUND), "found")
+    labels = found.where("h is null").select("path", "off", F.struct("rec", "tc").alias("label"))
+    labelled = asof_nearest(found.where("h is not null").drop("rec", "tc"), labels, ["path"], "off", "label")
+    facts = heads.select("path", tag_column(F.col("path")).alias("tag"), "fingerprint", F.lit(VERSION).alias("v"), "size", "video_pid", "aux_pid", "stride", F.lit(25.0).alias("fps"), F.lit(False).alias("decoded"))
+    ended = lead_end(labelled.join(facts, "path"), ["path"], "off", F.col("size"))
+    units = ended.withColumn("i", (F.row_number().over(W.partitionBy("path").orderBy("off", "at")) - 1).cast("int"))
+    units = units.withColumn("nbytes", F.col("end") - F.col("off")).withColumn("dec", F.lit(0)).select("*", "label.rec", "label.tc")
+    schema = T._parse_datatype_string(UNITS)
+    first = facts.withColumn("i", F.lit(-1)).select(*(F.col(x.name) if x.name in (*facts.columns, "i") else F.lit(None).cast(x.dataType).alias(x.name) for x in schema))
+    return first.unionByName(units.select(*(F.col(x.name).cast(x.dataType).alias(x.name) for x in schema)))
+
+
+def tag_column(path: Column) -> Column:
+    """What tag_of says, as a column: the file's name without its last extension."""
+    name = F.substring_index(path, "/", -1)
+    return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
 
 
 def _kept(spark: SparkSession, cache: str) -> DataFrame:

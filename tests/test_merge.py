@@ -278,3 +278,22 @@ def test_command_line_runs_a_decoder(spark, tmp_path, capsys):
 def test_sources_not_used_are_reported_with_their_span(spark, tmp_path):
     plan = build_plan(units_of(spark, tmp_path, A=Tape(0, 40), B=Tape(0, 40)))
     assert "| B " in render(plan) and "09:00:00 – 09:00:39" in render(plan)
+
+
+@pytest.mark.parametrize("each", [752 * 3, 5000, 100_000])
+def test_ranges_of_a_capture_give_what_one_reading_gives(spark, tmp_path, each):
+    path = Tape(0, 60, {7: "cc", 20: "corrupt", 33: "cc"}, (40, 41)).write(tmp_path / "A.m2t")
+    data = open(path, "rb").read()
+    open(path, "wb").write(b"junk" * 30 + data[: 188 * 100] + b"lost sync" + data[188 * 100 :])
+    want = scanned(path)
+    got = captures.scan(spark, [path], each).where("i >= 0").orderBy("i").collect()
+    names = ("i", "off", "end", "npic", "closed", "broken", "pts", "h", "cc", "tei", "rec", "tc")
+    assert [tuple(r[c] for c in names) for r in got] == [tuple(getattr(u, c) for c in names) for u in want]
+
+
+def test_names_of_captures(spark):
+    from pyspark.sql import functions as F
+
+    paths = ["/a/b.c.m2t", "x", "/a/.hidden", "file:///d/e.ts", "/a/b."]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select(captures.tag_column(F.col("path"))).collect()
+    assert [r[0] for r in rows] == [captures.tag_of(p) for p in paths]
