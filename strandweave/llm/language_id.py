@@ -37,6 +37,7 @@ ORDER = 4
 #: the least hash of their content, are counted, and as many again calibrate.
 SAMPLE = 400
 KEPT_BITS = 20  # of numbers that are kept, a power of two, for n-grams times languages
+MISSES = 1 << 15  # positions whose numbers are looked up at a time
 UNDECIDED = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = regex.compile(r"[^\p{L}]+")
@@ -195,13 +196,14 @@ class Model:
         slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
         miss = np.flatnonzero((names[slot] != keys) | (place < n - 1))
         total = values[slot]  # before others take the slots
-        if len(miss):
-            chars = np.stack([points[np.maximum(miss - k, 0)] for k in range(n - 1, -1, -1)], axis=1)
-            found = self.log_probabilities(chars, place[miss]).astype(np.float32)
-            whole = place[miss] >= n - 1
-            names[slot[miss[whole]]] = keys[miss[whole]]
-            values[slot[miss[whole]]] = found[whole]
-            total[miss] = found
+        for part in range(0, len(miss), MISSES):
+            some = miss[part : part + MISSES]
+            chars = np.stack([points[np.maximum(some - k, 0)] for k in range(n - 1, -1, -1)], axis=1)
+            found = self.log_probabilities(chars, place[some]).astype(np.float32)
+            whole = place[some] >= n - 1
+            names[slot[some[whole]]] = keys[some[whole]]
+            values[slot[some[whole]]] = found[whole]
+            total[some] = found
         total[place == 0] = 0
         sums = np.add.reduceat(total, starts, axis=0, dtype=np.float64) if len(points) else np.zeros((len(texts), len(self.languages)))
         return -sums / np.maximum(sizes - 1, 1)[:, None], letters

@@ -18,7 +18,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from strandweave.llm.words import BYTE_BASE, WORD_BASES, Texts, _Powers, mixed, span_hashes
+from strandweave.llm.words import BYTE_BASE, Texts, _Powers, mixed, span_hashes
 
 MOST_CACHED = 1_000_000
 LETTER, NUMBER, OTHER, SPACE = range(4)
@@ -53,7 +53,7 @@ class Encoder:
         self.cuts_alike = parts["normalizer"] is None and parts["post_processor"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") is True and not cut.get("add_prefix_space")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.classes = _classes()
-        self.powers, self.others = _Powers(BYTE_BASE), _Powers(WORD_BASES[0])
+        self.powers = _Powers(BYTE_BASE)
         self._forget()
 
     def _forget(self) -> None:
@@ -131,7 +131,7 @@ class Encoder:
         starts = self.pretokens(points, rows)
         ends = np.append(starts[1:], len(points))
         hashes = mixed(span_hashes(points.astype(np.uint64) + np.uint64(1), starts, ends, self.powers))
-        checks = mixed(span_hashes(points.astype(np.uint64) + np.uint64(1), starts, ends, self.others), 1)
+        checks = mixed(span_hashes(mixed(points.astype(np.uint64), 7), starts, ends, self.powers), 1)
         own, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if (checks != checks[first][inverse]).any():
             return self._whole(text, rows)

@@ -48,7 +48,7 @@ class _Powers:
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << max(12, (n - 1).bit_length())
+            size = max(1 << 12, n + n // 8)
             self.up, self.down = powers(self.base, size), powers(self.inverse, size)
         return self.up[:n], self.down[:n]
 
