@@ -199,6 +199,19 @@ def save_jsonl(table: DataFrame, path: str, to: str) -> None:
     os.replace(part, to)
 
 
+def save_index(table: DataFrame, path: str, to: str) -> bool:
+    """Write a capture's index file unless one of the same content, version and decode pass is there; whether it was written."""
+    head = table.where((F.col("path") == path) & (F.col("i") == -1)).select("fingerprint", "v", "decoded").first()
+    if os.path.exists(to):
+        with open(to) as f:
+            first = f.readline()
+        known = json.loads(first) if first.startswith("{") else {}
+        if [known.get(k) for k in ("fingerprint", "v", "decoded")] == list(head):
+            return False
+    save_jsonl(table, path, to)
+    return True
+
+
 def load_jsonl(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     """(head, units) of an index in JSON lines; a missing version is 1, a missing dec 0."""
     lines = spark.read.text(path)

@@ -202,6 +202,11 @@ def test_command_line(spark, tmp_path, capsys):
     out = str(tmp_path / "m.out")
     assert cli.main(["-o", out, "--index-dir", str(tmp_path / "ix"), str(tmp_path)], spark) == 0
     assert os.path.exists(out + ".report.md")
+    kept = {n: (tmp_path / "ix" / f"{n}.m2t.idx.jsonl") for n in "AB"}
+    before = {n: (p.stat().st_mtime_ns, len(p.read_text().splitlines())) for n, p in kept.items()}
+    assert [n for _, n in before.values()] == [21, 26]
+    assert cli.main(["--index-dir", str(tmp_path / "ix"), str(tmp_path)], spark) == 0
+    assert before == {n: (p.stat().st_mtime_ns, len(p.read_text().splitlines())) for n, p in kept.items()}
     (tmp_path / "e").mkdir()
     assert cli.main([str(tmp_path / "e")], spark) == 2
     with pytest.raises(SystemExit):
