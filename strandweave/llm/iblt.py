@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.words import SPACE, Texts, _byte_powers, mixed, span_hashes, texts_of
+from strandweave.llm.words import Texts, _byte_powers, mixed, span_hashes, texts_of
 from strandweave.session import parts_for
 
 CELLS = 24  # of a fingerprint: three thirds of 8
