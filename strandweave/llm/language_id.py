@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandweave.llm.words import mixed, sliced
+from strandweave.llm.words import give_back, mixed, sliced
 from strandweave.session import discard, written
 
 ORDER = 4
@@ -219,7 +219,7 @@ class Model:
         for k, t in enumerate(texts):  # bounded batches of characters
             held.append(k)
             size += len(t or "")
-            if size * max(4, len(self.languages)) > 1 << 21:
+            if size * max(4, len(self.languages)) > 1 << 20:
                 groups, held, size = [*groups, held], [], 0
         for rows in [*groups, *([held] if held else [])]:
             cross, letters = self.entropies([texts[k] or "" for k in rows])
@@ -399,6 +399,7 @@ def predictor(model: Model):
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             yield model.predict(part.tolist())
+        give_back()
 
     return predict
 

@@ -57,7 +57,7 @@ def _text_hashes(text: bytes, size: int) -> list[int]:
 
 def _prints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", 1 << 18):
             texts = texts_of(batch.column(1))
             hashes, counts = [], []
             for k in range(len(texts)):

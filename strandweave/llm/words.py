@@ -8,6 +8,8 @@ multiplication.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -137,10 +139,20 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(data[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on and serves later stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `most` bytes of `column`, or one row.
 
-    This bounds the memory of numpy work by the bytes and not by the rows.
+    This bounds the memory of numpy work by the bytes and not by the rows. What is free
+    after the last of them goes back to the system.
     """
     for batch in batches:
         offsets = texts_of(batch.column(batch.schema.get_field_index(column))).offsets
@@ -150,3 +162,4 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
