@@ -79,8 +79,8 @@ def parts_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 2,000 rows and 8 MB at most: texts are long, and a batch is copied a few times."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+    """Arrow batches of 2,000 rows and 2 MB at most: texts are long, and a batch is copied a few times."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20)):
         set_to = spark.conf.get(name, None)
         if set_to is None or not 0 < int(set_to.rstrip("b")) <= most:
             spark.conf.set(name, str(most))
