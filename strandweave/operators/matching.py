@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandweave.operators.ordered import _back
+
 
 def hash_frequency(df: DataFrame, h: str = "h", capture: str = "capture") -> DataFrame:
     """How often each hash occurs, and in how many captures."""
@@ -74,9 +76,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, part: Sequence[str], at: str
     a = left.select(*part, at, F.struct(*cols).alias("_l"), F.lit(0).alias("_k"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     b = right.select(*part, at, F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), F.lit(1).alias("_k"), F.col(value).alias("_v"))
     both = a.unionByName(b)
-    w = W.partitionBy(*part).orderBy(at, "_k", "_v")
+    w, back = (x.rowsBetween(W.unboundedPreceding, -1) for x in (W.partitionBy(*part).orderBy(at, "_k", "_v"), _back(part, at, "_k", "_v")))
     seen = F.when(F.col("_k") == 1, F.struct(F.col(at).alias("x"), F.col("_v").alias("v")))
-    both = both.withColumn("_b", F.last(seen, True).over(w.rowsBetween(W.unboundedPreceding, -1))).withColumn("_f", F.first(seen, True).over(w.rowsBetween(1, W.unboundedFollowing)))
+    both = both.withColumn("_b", F.last(seen, True).over(w)).withColumn("_f", F.last(seen, True).over(back))
     behind, ahead = F.col(at) - F.col("_b.x"), F.col("_f.x") - F.col(at)
     pick = ahead.isNull() | (behind <= ahead)
     out = both.where("_k = 0").withColumn("_p", F.when(behind.isNotNull() & pick, F.col("_b")).otherwise(F.col("_f")))
@@ -101,8 +103,8 @@ def asof_truncated(probes: DataFrame, rows: DataFrame, part: Sequence[str], at:
 
 def next_observation(df: DataFrame, part: Sequence[str], order: Sequence[str], event: Column, observed: Column, value: str, name: str) -> DataFrame:
     """Rows of `event` with the value of the next row that is observed; rows after the last are dropped."""
-    after = W.partitionBy(*part).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    found = df.withColumn("_e", event).withColumn(name, F.first(F.when(observed, F.col(value)), ignorenulls=True).over(after))
+    after = _back(part, *order).rowsBetween(W.unboundedPreceding, -1)
+    found = df.withColumn("_e", event).withColumn(name, F.last(F.when(observed, F.col(value)), ignorenulls=True).over(after))
     return found.where(F.col("_e") & F.col(name).isNotNull()).drop("_e")
 
 

@@ -29,6 +29,11 @@ def _before(part: Sequence[str], *order: str | Column):
     return _by(part, *order).rowsBetween(W.unboundedPreceding, -1)
 
 
+def _back(part: Sequence[str], *order: str | Column):
+    """The order from its end. Rows from one on are looked at so: a frame that has no end is gone through anew for every row."""
+    return _by(part, *(F.desc(c) for c in order))
+
+
 def islands(df: DataFrame, part: Sequence[str], order: Sequence[str], change: Column, name: str = "island") -> DataFrame:
     """Number runs of rows: `change` is true where a row starts a new one."""
     return df.withColumn(name, F.sum(F.when(change, 1).otherwise(0)).over(_upto(part, *order)))
@@ -51,7 +56,7 @@ def longest_run(runs: DataFrame, part: Sequence[str]) -> DataFrame:
 
 def clean_run_ahead(df: DataFrame, part: Sequence[str], order: str, bad: Column, cap: int = 120, name: str = "clean_run") -> DataFrame:
     """How many rows from this one on are clean, at most cap; positions are dense from 0."""
-    ahead = _by(part, order).rowsBetween(0, W.unboundedFollowing)
+    ahead = _back(part, order).rowsBetween(W.unboundedPreceding, 0)
     size = F.count("*").over(W.partitionBy(*part))
     return df.withColumn(name, F.least(F.coalesce(F.min(F.when(bad, F.col(order))).over(ahead), size) - F.col(order), F.lit(cap)))
 

@@ -75,8 +75,8 @@ def decode_errors(log: DataFrame, rows: DataFrame, line: str = "line", number: s
     """
     known = log.withColumn("kind", text.log_class(F.col(line)))
     frames = F.when(F.col("kind") == "frame", text.frame_ticks(F.col(line)))
-    after = W.partitionBy(*part).orderBy(number).rowsBetween(1, W.unboundedFollowing)
-    found = known.withColumn("ticks", F.first(frames, ignorenulls=True).over(after)).where("kind in ('error', 'container') and ticks is not null")
+    after = ordered._back(part, number).rowsBetween(W.unboundedPreceding, -1)
+    found = known.withColumn("ticks", F.last(frames, ignorenulls=True).over(after)).where("kind in ('error', 'container') and ticks is not null")
     probes = found.groupBy(*part, "ticks", "kind").agg(F.count("*").alias("errors"))
     at = matching.asof_truncated(probes, rows.select(*part, "j", "pts"), part, "ticks", "pts", "j")
     return at.groupBy(*part, "kind", "j").agg(F.sum("errors").alias("errors"))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 from strandweave.operators.matching import asof_nearest, work_list
-from strandweave.operators.ordered import lead_end
+from strandweave.operators.ordered import _back, _before, lead_end
 from strandweave.session import _in_hadoop, ship, written
 from strandweave.sources import transport
 from strandweave.sources.bytesio import opened, read_range, size_of
@@ -58,6 +58,7 @@ def fingerprint_of(path: str) -> str:
 
 
 RANGE = 256 << 20  # bytes of a capture that one task scans
+ORDERED = 64 << 20  # and that one task numbers and labels
 HEADS = "path string, fingerprint string, size long, video_pid int, aux_pid int, stride int, first long"
 FOUND = "path string, at long, off long, npic int, closed int, broken int, pts long, h string, cc int, tei int, rec string, tc string"
 _ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -105,22 +106,38 @@ def _marks(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return written(_paths(spark, paths).mapInArrow(run, "path string, fingerprint string, v int"), "marks")
 
 
+def _edges(found: DataFrame) -> DataFrame:
+    """What a range of a capture needs of the others: path, range, units before it, where the next unit starts, the labels next to it."""
+    unit = F.col("h").isNotNull()
+    label = F.when(~unit, F.struct("off", F.struct("rec", "tc").alias("label")))
+    each = found.groupBy("path", "range").agg(F.count_if(unit).alias("n"), F.min(F.when(unit, F.col("off"))).alias("first"), F.min(label).alias("low"), F.max(label).alias("high"))
+    before, after = _before(["path"], "range"), _back(["path"], "range").rowsBetween(W.unboundedPreceding, -1)
+    return each.select("path", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), *(F.last(c, True).over(w).alias(name) for c, w, name in (("first", after, "next"), ("high", before, "behind"), ("low", after, "ahead"))))
+
+
 def scan(spark: SparkSession, paths: Sequence[str], range_bytes: int = RANGE) -> DataFrame:
     """Head and unit rows of captures; a task reads one range of one capture.
 
     Numbers, ends and labels follow from the order of a capture's units: they are the
-    ordered operators' work.
+    ordered operators' work, again a range at a time. A row for each range, broadcast,
+    says what it needs of the others.
     """
     heads = written(_marks(spark, paths).select("path", "fingerprint").repartition(max(len(paths), 1), "path").mapInArrow(_heads, HEADS), "heads")
     starts = F.sequence(F.col("first"), F.greatest("first", F.col("size") - 1), F.lit(range_bytes))
     ranges = heads.withColumn("a", F.explode(starts)).withColumn("b", F.least(F.col("a") + range_bytes, "size"))
     n = max(1, sum(-(-r["size"] // range_bytes) for r in heads.select("size").collect()))
     found = written(ranges.repartition(n, "path", "a").mapInArrow(_ranges, FOUND), "found")
-    labels = found.where("h is null").select("path", "off", F.struct("rec", "tc").alias("label"))
-    labelled = asof_nearest(found.where("h is not null").drop("rec", "tc"), labels, ["path"], "off", "label")
+    found = found.withColumn("range", F.col("off") - F.pmod("off", F.lit(min(range_bytes, ORDERED))))
+    edges = _edges(found)
+    labels = found.where("h is null").select("path", "range", "off", F.struct("rec", "tc").alias("label"))
+    for side in ("behind", "ahead"):
+        labels = labels.unionByName(edges.where(F.col(side).isNotNull()).select("path", "range", f"{side}.*"))
+    labelled = asof_nearest(found.where("h is not null").drop("rec", "tc"), labels, ["path", "range"], "off", "label")
     facts = heads.select("path", tag_column(F.col("path")).alias("tag"), "fingerprint", F.lit(VERSION).alias("v"), "size", "video_pid", "aux_pid", "stride", F.lit(25.0).alias("fps"), F.lit(False).alias("decoded"))
-    ended = lead_end(labelled.join(facts, "path"), ["path"], "off", F.col("size"))
-    units = ended.withColumn("i", (F.row_number().over(W.partitionBy("path").orderBy("off", "at")) - 1).cast("int"))
+    # Dealt by path alone, a capture would be one task's.
+    labelled = labelled.join(F.broadcast(facts), "path").join(F.broadcast(edges.select("path", "range", "before", "next")), ["path", "range"])
+    ended = lead_end(labelled, ["path", "range"], "off", F.coalesce("next", "size"))
+    units = ended.withColumn("i", (F.col("before") + F.row_number().over(W.partitionBy("path", "range").orderBy("off", "at")) - 1).cast("int"))
     units = units.withColumn("nbytes", F.col("end") - F.col("off")).withColumn("dec", F.lit(0)).select("*", "label.rec", "label.tc")
     schema = T._parse_datatype_string(UNITS)
     first = facts.withColumn("i", F.lit(-1)).select(*(F.col(x.name) if x.name in (*facts.columns, "i") else F.lit(None).cast(x.dataType).alias(x.name) for x in schema))

@@ -15,6 +15,27 @@ from strandweave.streaming.ingest import ingest
 from strandweave.sources.synthetic import Tape
 
 
+def test_a_capture_is_put_together_range_by_range(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    # No labels between packets 400 and 1,000, and ranges without a unit's beginning.
+    data = bytearray(Tape(0, 300, {7: "cc", 30: "cc", 31: "corrupt"}, (50,)).render())
+    for k in range(400, 1000):
+        if data[188 * k + 1] & 31 == 2 and data[188 * k + 2] == 1:
+            data[188 * k + 2] = 5
+    path = tmp_path / "A.m2t"
+    path.write_bytes(bytes(data))
+    whole = sorted(map(str, captures.scan(spark, [str(path)]).collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for each in (188 * 40, 188 * 401):
+            rows = captures.scan(spark, [str(path)], each)
+            assert sorted(map(str, rows.collect())) == whole and len(whole) == 300
+            assert rows.where("i >= 0").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def units_of(spark, tmp_path, **tapes):
     paths = [tape.write(tmp_path / f"{name}.m2t") for name, tape in tapes.items()]
     return captures.units(captures.scan(spark, paths)).cache()

@@ -58,6 +58,21 @@ def test_asof_joins(spark):
         assert found[g, t] == answer
 
 
+def test_no_frame_is_gone_through_anew_for_every_row(spark):
+    from strandweave.plans.verify import decode_errors
+
+    rows = frame(spark, [(0, 1, 2, True, "x")], "g int, j int, c int, b boolean, line string")
+    found = [
+        M.asof_nearest(rows.select("g", "j", "c"), rows.select("g", "j", "line"), ["g"], "j", "line"),
+        M.next_observation(rows, ["g"], ["j"], F.col("b"), F.col("b"), "c", "next"),
+        O.clean_run_ahead(rows, ["g"], "j", F.col("b")),
+        decode_errors(rows.withColumn("n", F.col("j")), rows.withColumn("pts", F.col("c"))),
+    ]
+    for df in found:
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "rowframe" in plan and not [x for x in plan.split("specifiedwindowframe(")[1:] if "unboundedfollowing" in x.split(")")[0] and "unboundedpreceding" not in x.split(")")[0]]
+
+
 def test_sessions_and_breaks(spark):
     rnd = random.Random(4)
     rows = [(g, j, None if rnd.random() < 0.2 else rnd.randrange(40) / 10) for g in range(50) for j in range(8)]
