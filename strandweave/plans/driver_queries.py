@@ -183,7 +183,9 @@ def q11(spark, sf):
 @query("q12_coalesce", """WITH d AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem), a AS (SELECT *, l_orderkey - row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS g FROM d)
 SELECT l_suppkey, min(l_orderkey) AS j0, max(l_orderkey) AS j1, count(*) AS n FROM a GROUP BY l_suppkey, g""")
 def q12(spark, sf):
-    rows = _t(spark, sf, "lineitem").select("l_suppkey", "l_orderkey").distinct()
+    from strandweave.session import dealt
+
+    rows = dealt(_t(spark, sf, "lineitem").select("l_suppkey", "l_orderkey"), "l_suppkey").distinct()
     return O.coalesce_runs(rows, ["l_suppkey"], ["l_orderkey"], "l_orderkey").drop("seg")
 
 

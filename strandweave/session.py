@@ -78,6 +78,15 @@ def parts_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     return max(least, (input_bytes(df) or 0) // bytes_each)
 
 
+ROWS_EACH = 250_000  # narrow rows that one task sorts and groups
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as its rows need, at least the session's setting; of a file's columns the count reads footers only."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // ROWS_EACH)), *keys)
+
+
 def _small_batches(spark: SparkSession) -> None:
     """Arrow batches of 2,000 rows and 2 MB at most: texts are long, and a batch is copied a few times."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20)):

@@ -32,6 +32,17 @@ def test_same_rows(spark, oracle, name):
     assert got == want and got
 
 
+def test_coalesce_takes_more_tasks_for_more_rows(spark, oracle, monkeypatch):
+    from strandweave import session
+
+    monkeypatch.setattr(session, "ROWS_EACH", 500, raising=False)
+    df = D.QUERIES["q12_coalesce"](spark, SF)
+    got = sorted(tuple(r) for r in df.select("l_suppkey", "j0", "j1", "n").collect())
+    assert got == sorted(oracle.execute(f"SELECT l_suppkey, j0, j1, n FROM ({D.SQL['q12_coalesce']})").fetchall())
+    rows = oracle.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    assert df.rdd.getNumPartitions() == -(-rows // 500) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize("name", ["q42_greedy_align", "q43_plan", "q45_build_verify"])
 def test_rows(spark, name):
     rows = D.QUERIES[name](spark, SF).collect()
