@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,37 +33,46 @@ def align(rows: DataFrame, ambiguous: int = 4) -> Alignment:
     names = sorted(sizes)
     if not names:
         return Alignment([], {})
-    against: dict = defaultdict(list)
-    for r in pair_votes(rows, ambiguous, both_ways=True).collect():
-        against[r["s"]].append((r["p"], r["delta"], r["votes"], r["min_j"]))
-    shifts, rank = {names[0]: 0}, {names[0]: 0}
-    while len(shifts) < len(names):
-        best = None
-        for s in names:
-            if s in shifts:
-                continue
-            total: dict = defaultdict(int)
-            first: dict = {}
-            for p, delta, votes, min_j in against[s]:
-                if p in shifts:
-                    place = shifts[p] + delta
-                    total[place] += votes
-                    seen = (min_j, rank[p], min_j + delta)
-                    first[place] = min(first.get(place, seen), seen)
-            if total:
-                place = min(total, key=lambda k: (-total[k], first[k]))
-                if best is None or total[place] > best[0]:
-                    best = total[place], s, place
-        if best is None:
-            after = max(shifts[s] + sizes[s] for s in shifts)
-            for s in names:
-                if s not in shifts:
-                    shifts[s] = after
-                    rank[s] = len(rank)
-                    after += sizes[s]
-            break
-        _, s, place = best
-        rank[s], shifts[s] = len(rank), place
+    votes = ((r["p"], r["s"], r["delta"], r["votes"], r["min_j"]) for r in pair_votes(rows, ambiguous, both_ways=True).collect())
+    shifts = placed(names, sizes, votes)
     low = min(shifts.values())
     shifts = {s: k - low for s, k in shifts.items()}
     return Alignment(sorted(names, key=lambda s: (shifts[s], s)), shifts)
+
+
+def placed(names: list, sizes: dict, votes: Iterable[tuple]) -> dict:
+    """Places of captures, the first at 0, from votes (p, s, delta, votes, min_j).
+
+    A capture's totals change only when one is placed that votes for it, and only
+    rise; so each vote is looked at once, and the heap's head that is not placed yet
+    is the next.
+    """
+    given: dict = defaultdict(list)
+    for p, *vote in votes:
+        given[p].append(vote)
+    total: dict = defaultdict(lambda: defaultdict(int))
+    first: dict = defaultdict(dict)
+    shifts: dict = {}
+    heap: list = []
+
+    def put(p, shift: int) -> None:
+        rank = len(shifts)
+        shifts[p] = shift
+        for s, delta, n, min_j in given[p]:
+            if s not in shifts:
+                place, seen = shift + delta, (min_j, rank, min_j + delta)
+                total[s][place] += n
+                first[s][place] = min(first[s].get(place, seen), seen)
+                heappush(heap, (-total[s][place], s))
+
+    put(names[0], 0)
+    while heap:
+        _, s = heappop(heap)
+        if s not in shifts:
+            put(s, min(total[s], key=lambda k: (-total[s][k], first[s][k])))
+    after = max(shifts[s] + sizes[s] for s in shifts)
+    for s in names:
+        if s not in shifts:
+            shifts[s] = after
+            after += sizes[s]
+    return shifts

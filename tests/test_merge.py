@@ -36,6 +36,51 @@ def test_a_capture_is_put_together_range_by_range(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_captures_are_placed_like_one_after_the_other_and_in_time():
+    import random
+    import time
+
+    from strandweave.plans.align import placed
+
+    def slowly(names, sizes, votes):
+        shifts, rank = {names[0]: 0}, {names[0]: 0}
+        while len(shifts) < len(names):
+            best = None
+            for s in names:
+                total, first = {}, {}
+                for p, own, delta, n, min_j in votes:
+                    if own == s and s not in shifts and p in shifts:
+                        place = shifts[p] + delta
+                        total[place] = total.get(place, 0) + n
+                        seen = (min_j, rank[p], min_j + delta)
+                        first[place] = min(first.get(place, seen), seen)
+                if total:
+                    place = min(total, key=lambda k: (-total[k], first[k]))
+                    if best is None or total[place] > best[0]:
+                        best = total[place], s, place
+            if best is None:
+                after = max(shifts[s] + sizes[s] for s in shifts)
+                for s in names:
+                    if s not in shifts:
+                        shifts[s], after = after, after + sizes[s]
+                break
+            rank[best[1]], shifts[best[1]] = len(rank), best[2]
+        return shifts
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        names = [f"c{k}" for k in range(rnd.randint(1, 9))]
+        sizes = {s: rnd.randint(1, 9) for s in names}
+        votes = {(p, s, rnd.randint(-3, 3)): (rnd.randint(1, 3), rnd.randrange(4)) for p in names for s in names if p != s and rnd.random() < 0.4 for _ in range(3)}
+        votes = [(*k, *v) for k, v in votes.items()]
+        assert placed(names, sizes, iter(votes)) == slowly(names, sizes, votes)
+    names = [f"c{k:06d}" for k in range(20_000)]
+    near = [(names[a], names[b], (b - a) * 250, 150, 0) for k in range(19_999) for a, b in ((k, k + 1), (k + 1, k))]
+    began = time.monotonic()
+    got = placed(names, dict.fromkeys(names, 400), near)
+    assert [got[s] for s in names] == [k * 250 for k in range(20_000)] and time.monotonic() - began < 20
+
+
 def units_of(spark, tmp_path, **tapes):
     paths = [tape.write(tmp_path / f"{name}.m2t") for name, tape in tapes.items()]
     return captures.units(captures.scan(spark, paths)).cache()
